@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import mixing as _mixing
 from . import token_counts as _token_counts
 from .common import read_table
 
@@ -14,11 +15,17 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_source_mixing(spark, sf_dir):
+    mixed = _mixing.mix_sources(read_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op9_token_counts(spark, sf_dir):
     return _token_counts.token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES = {
+    "op1_source_mixing": op1_source_mixing,
     "op9_token_counts": op9_token_counts,
 }
 
