@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import compression_quality as _quality
 from . import mixing as _mixing
 from . import token_counts as _token_counts
 from .common import read_table
@@ -20,12 +21,18 @@ def op1_source_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op7_quality_classifier(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return _quality.score(docs, _quality.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op9_token_counts(spark, sf_dir):
     return _token_counts.token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
+    "op7_quality_classifier": op7_quality_classifier,
     "op9_token_counts": op9_token_counts,
 }
 
