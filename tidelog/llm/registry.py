@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import compression_quality as _quality
 from . import mixing as _mixing
+from . import secrets as _secrets
 from . import token_counts as _token_counts
 from .common import read_table
 
@@ -26,6 +27,10 @@ def op7_quality_classifier(spark, sf_dir):
     return _quality.score(docs, _quality.train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op8_secret_scan(spark, sf_dir):
+    return _secrets.digest(_secrets.find_secrets(read_table(spark, sf_dir, "documents")))
+
+
 def op9_token_counts(spark, sf_dir):
     return _token_counts.token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -33,6 +38,7 @@ def op9_token_counts(spark, sf_dir):
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_secret_scan": op8_secret_scan,
     "op9_token_counts": op9_token_counts,
 }
 
