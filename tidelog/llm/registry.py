@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from . import compression_quality as _quality
+from . import media_archive as _media
 from . import mixing as _mixing
 from . import secrets as _secrets
 from . import token_counts as _token_counts
-from .common import read_table
+from .common import read_table, scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -35,11 +36,18 @@ def op9_token_counts(spark, sf_dir):
     return _token_counts.token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_media_columns(spark, sf_dir):
+    folder = scratch_path(spark, "media")
+    _media.write_archives(read_table(spark, sf_dir, "documents"), folder)
+    return _media.media_columns(_media.read_archives(spark, folder))
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_secret_scan": op8_secret_scan,
     "op9_token_counts": op9_token_counts,
+    "op10_media_columns": op10_media_columns,
 }
 
 ORACLE_SQL: dict[str, str] = {}
