@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import compression_quality as _quality
+from . import decontamination as _decontamination
 from . import media_archive as _media
 from . import mixing as _mixing
 from . import secrets as _secrets
@@ -23,6 +24,11 @@ def op1_source_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op5_decontamination(spark, sf_dir):
+    found = _decontamination.find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.drop("spans")
+
+
 def op7_quality_classifier(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     return _quality.score(docs, _quality.train(docs, read_table(spark, sf_dir, "labels")))
@@ -44,10 +50,13 @@ def op10_media_columns(spark, sf_dir):
 
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
+    "op5_decontamination": op5_decontamination,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_secret_scan": op8_secret_scan,
     "op9_token_counts": op9_token_counts,
     "op10_media_columns": op10_media_columns,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontamination": _decontamination.ORACLE_SQL,
+}
