@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import compression_quality as _quality
 from . import decontamination as _decontamination
+from . import line_spread as _lines
 from . import media_archive as _media
 from . import mixing as _mixing
 from . import secrets as _secrets
@@ -24,6 +25,10 @@ def op1_source_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op4_line_dedup(spark, sf_dir):
+    return _lines.digest(_lines.cut_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
+
+
 def op5_decontamination(spark, sf_dir):
     found = _decontamination.find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.drop("spans")
@@ -50,6 +55,7 @@ def op10_media_columns(spark, sf_dir):
 
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
+    "op4_line_dedup": op4_line_dedup,
     "op5_decontamination": op5_decontamination,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_secret_scan": op8_secret_scan,
@@ -58,5 +64,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": _lines.ORACLE_SQL,
     "op5_decontamination": _decontamination.ORACLE_SQL,
 }
