@@ -7,6 +7,7 @@ from . import decontamination as _decontamination
 from . import line_spread as _lines
 from . import media_archive as _media
 from . import mixing as _mixing
+from . import ngram_join as _ngrams
 from . import secrets as _secrets
 from . import token_counts as _token_counts
 from .common import read_table, scratch_path
@@ -25,6 +26,11 @@ def op1_source_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op2_ngram_join(spark, sf_dir):
+    found = _ngrams.similar_components(read_table(spark, sf_dir, "documents"), k=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op4_line_dedup(spark, sf_dir):
     return _lines.digest(_lines.cut_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
 
@@ -55,6 +61,7 @@ def op10_media_columns(spark, sf_dir):
 
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
+    "op2_ngram_join": op2_ngram_join,
     "op4_line_dedup": op4_line_dedup,
     "op5_decontamination": op5_decontamination,
     "op7_quality_classifier": op7_quality_classifier,
@@ -64,6 +71,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_join": _ngrams.ORACLE_SQL,
     "op4_line_dedup": _lines.ORACLE_SQL,
     "op5_decontamination": _decontamination.ORACLE_SQL,
 }
