@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import compression_quality as _quality
 from . import decontamination as _decontamination
+from . import licences as _licences
 from . import line_spread as _lines
 from . import media_archive as _media
 from . import mixing as _mixing
@@ -31,6 +32,11 @@ def op2_ngram_join(spark, sf_dir):
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op3_licence_scan(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return _licences.scan(docs, _licences.train(docs)).drop("findings")
+
+
 def op4_line_dedup(spark, sf_dir):
     return _lines.digest(_lines.cut_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
 
@@ -62,6 +68,7 @@ def op10_media_columns(spark, sf_dir):
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_ngram_join": op2_ngram_join,
+    "op3_licence_scan": op3_licence_scan,
     "op4_line_dedup": op4_line_dedup,
     "op5_decontamination": op5_decontamination,
     "op7_quality_classifier": op7_quality_classifier,
