@@ -36,6 +36,8 @@ BITS = 20  # 2^BITS cells of shingle counts: one byte each goes to every worker
 BLOCKS = 64  # in which the cells are summed
 SPLIT = 512  # members of a frequent shingle that meet in one group
 TILE = 512  # rows that are compared with as many at once
+SMALL = 32  # members of groups that are compared many groups at once
+PAIR_BYTES = 1 << 20  # of texts whose pairs are verified at once
 MAP_IDS = 2_000_000  # ids that may go to every worker; beyond that they are joined
 
 
@@ -132,58 +134,24 @@ def _describe(docs: DataFrame, k: int, percent: int, bits: int, split: int) -> D
 # ---------------------------------------------------------------- candidates
 
 
-def _groups(batches, keys):
-    """Numpy columns of each run of equal keys in sorted batches; a run may span batches."""
-    held: list[dict] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = {n: batch[n].to_numpy(zero_copy_only=False) for n in batch.schema.names}
-        change = np.zeros(batch.num_rows, bool)
-        for k in keys:
-            change[1:] |= cols[k][1:] != cols[k][:-1]
-        edges = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-        if held and any(held[-1][k][-1] != cols[k][0] for k in keys):
-            yield {n: np.concatenate([x[n] for x in held]) for n in cols}
-            held = []
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            piece = {n: v[lo:hi] for n, v in cols.items()}
-            if hi < batch.num_rows:
-                yield {n: np.concatenate([*(x[n] for x in held), piece[n]]) for n in cols} if held else piece
-                held = []
-            else:
-                held.append(piece)
-    if held:
-        yield {n: np.concatenate([x[n] for x in held]) for n in held[0]}
-
-
 def _met(batches):
     """Prefix entries whose shingle another class has in its prefix too; frequent ones may be in other salts."""
-    for batch in _packed(_groups(batches, ("token", "salt")), lambda g: len(g["token"]) > 1 or g["salts"][0] > 1):
-        yield batch
-
-
-def _packed(groups, keep, most: int = 20_000):
-    held, n = [], 0
-    for g in groups:
-        if keep(g):
-            held.append(g)
-            n += len(g["token"])
-        if n >= most:
-            yield pa.RecordBatch.from_pydict({k: np.concatenate([x[k] for x in held]) for k in held[0]})
-            held, n = [], 0
-    if held:
-        yield pa.RecordBatch.from_pydict({k: np.concatenate([x[k] for x in held]) for k in held[0]})
-
-
-def _allowed(a: dict, b: dict, i: slice, j: slice, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(which pairs of rows i of a and j of b pass the filters, their signatures' distances)."""
-    na, nb = a["n"][i][:, None], b["n"][j][None, :]
-    pa_, pb = a["pos"][i][:, None], b["pos"][j][None, :]
+    for table in _tables(batches, ("token", "salt")):
+        size = np.bincount(table["group"])
+        keep = (size[table["group"]] > 1) | (table["salts"] > 1)
+        if keep.any():
+            yield pa.RecordBatch.from_pydict({k: v[keep] for k, v in table.items() if k != "group"})
+
+
+def _allowed(a: dict, b: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which pairs of rows of a and b, as numpy broadcasts them, pass the filters; their signatures' distances)."""
+    na, nb, at_a, at_b = a["n"], b["n"], a["pos"], b["pos"]
     need = (percent * (na + nb) + percent + 99) // (100 + percent)  # the least overlap of a link
-    ok = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (np.minimum(pa_, pb) + 1 + np.minimum(na - pa_ - 1, nb - pb - 1) >= need)
-    ok &= a["cid"][i][:, None] != b["cid"][j][None, :]
-    apart = sum(np.bitwise_count(a[s][i].view(np.uint64)[:, None] ^ b[s][j].view(np.uint64)[None, :]).astype(np.int16) for s in ("s1", "s2"))
+    ok = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (np.minimum(at_a, at_b) + 1 + np.minimum(na - at_a - 1, nb - at_b - 1) >= need)
+    ok &= a["cid"] != b["cid"]
+    if "label" in a:
+        ok &= a["label"] != b["label"]
+    apart = sum(np.bitwise_count(a[s].view(np.uint64) ^ b[s].view(np.uint64)).astype(np.int16) for s in ("s1", "s2"))
     return ok & (apart <= na + nb - 2 * need), apart
 
 
@@ -195,68 +163,121 @@ def _tiles(n: np.ndarray, m: np.ndarray, percent: int, same: bool):
                 yield slice(i, i + TILE), slice(j, j + TILE)
 
 
+def _candidates(batches, keys: tuple, percent: int):
+    """(a, b, apart) arrays of the pairs that pass the filters within groups of equal keys.
+
+    Small groups are compared all at once, row by row with the row k places on; larger ones in tiles. Where the keys hold
+    two salts, only rows of the one meet rows of the other.
+    """
+    dealt = "x" in keys
+
+    def compare(a, b):
+        ok, apart = _allowed(a, b, percent)
+        if dealt:
+            ok &= (a["salt"] != b["salt"]) | (a["x"] == a["y"])
+        return ok, apart
+
+    for table in _tables(batches, keys):
+        order = np.lexsort((table["n"], table["group"]))
+        t = {k: v[order] for k, v in table.items()}
+        edges = np.flatnonzero(np.concatenate([[True], t["group"][1:] != t["group"][:-1], [True]]))
+        size = np.diff(edges)
+        small = np.repeat(size <= SMALL, size)
+        behind = np.repeat(edges[1:], size)  # where each row's group ends
+        row = np.flatnonzero(small)
+        for k in range(1, int(size[size <= SMALL].max(initial=1))):
+            row = row[row + k < behind[row]]
+            if not len(row):
+                break
+            a, b = ({c: v[row + d] for c, v in t.items()} for d in (0, k))
+            ok, apart = compare(a, b)
+            if ok.any():
+                yield a["cid"][ok], b["cid"][ok], apart[ok]
+        for g in np.flatnonzero(size > SMALL):
+            whole = {c: v[edges[g] : edges[g + 1]] for c, v in t.items()}
+            for i, j in _tiles(whole["n"], whole["n"], percent, True):
+                a, b = {c: v[i][:, None] for c, v in whole.items()}, {c: v[j][None, :] for c, v in whole.items()}
+                ok, apart = compare(a, b)
+                if i == j:
+                    ok = np.triu(ok, 1)
+                r, c = np.nonzero(ok)
+                if len(r):
+                    yield whole["cid"][i][r], whole["cid"][j][c], apart[r, c]
+
+
+def _tables(batches, keys: tuple, most: int = 50_000):
+    """Whole groups of sorted batches, many at a time, as numpy columns with a running number in "group"."""
+    held: dict | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = {n: batch[n].to_numpy(zero_copy_only=False) for n in batch.schema.names}
+        held = cols if held is None else {n: np.concatenate([held[n], cols[n]]) for n in cols}
+        if len(held["n"]) < most:
+            continue
+        change = np.zeros(len(held["n"]), bool)
+        for k in keys:
+            change[1:] |= held[k][1:] != held[k][:-1]
+        last = np.flatnonzero(change)
+        if len(last):
+            cut = last[-1]
+            done = {n: v[:cut] for n, v in held.items()}
+            held = {n: v[cut:] for n, v in held.items()}
+            yield done | {"group": np.cumsum(change[:cut])}
+    if held is not None:
+        change = np.zeros(len(held["n"]), bool)
+        for k in keys:
+            change[1:] |= held[k][1:] != held[k][:-1]
+        yield held | {"group": np.cumsum(change)}
+
+
+def _packed_pairs(a, b, apart) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(apart.astype(np.int64))], names=["a", "b", "apart"])
+
+
 def _nearest(percent: int):
-    """Each row's nearest candidate in its group: one pair a row at most."""
+    """Each row's nearest candidate, over the groups at hand: about one pair a class at most."""
+
+    def best(found):
+        a = np.concatenate([x for f in found for x in (f[0], f[1])])
+        b = np.concatenate([x for f in found for x in (f[1], f[0])])
+        d = np.concatenate([x for f in found for x in (f[2], f[2])])
+        order = np.lexsort((b, d, a))
+        a, b, d = a[order], b[order], d[order]
+        first = np.concatenate([[True], a[1:] != a[:-1]])
+        return a[first], b[first], d[first]
 
     def run(batches):
-        out: list[tuple] = []
-        for g in _groups(batches, ("token", "salt")):
-            if len(g["n"]) < 2:
-                continue
-            order = np.argsort(g["n"], kind="stable")
-            g = {k: v[order] for k, v in g.items()}
-            best = np.full(len(order), 1 << 14, np.int64)
-            mate = np.zeros(len(order), np.int64)
-            for i, j in _tiles(g["n"], g["n"], percent, True):
-                ok, apart = _allowed(g, g, i, j, percent)
-                apart = np.where(ok, apart, 1 << 14)
-                for rows, others, d in ((i, j, apart), (j, i, apart.T)):
-                    at = d.argmin(1)
-                    near = d[np.arange(len(at)), at]
-                    closer = near < best[rows]
-                    best[rows] = np.where(closer, near, best[rows])
-                    mate[rows] = np.where(closer, g["cid"][others][at], mate[rows])
-            hit = best < 1 << 14
-            if hit.any():
-                out.append((g["cid"][hit], mate[hit], best[hit]))
-            if sum(len(x[0]) for x in out) > 20_000:
-                yield _pairs(out)
-                out = []
-        if out:
-            yield _pairs(out)
+        found: list[tuple] = []
+        for f in _candidates(batches, ("token", "salt"), percent):
+            found.append(f)
+            if sum(len(x[0]) for x in found) > 500_000:
+                found = [best(found)]
+                if len(found[0][0]) > 200_000:
+                    yield _packed_pairs(*found.pop())
+        if found:
+            yield _packed_pairs(*best(found))
 
     return run
 
 
-def _pairs(out) -> pa.RecordBatch:
-    a, b, d = (np.concatenate([x[i] for x in out]) for i in range(3))
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d.astype(np.int64))], names=["a", "b", "apart"])
-
-
 def _across(percent: int):
     """All candidates of different components in a group: salt x against salt y, or within one."""
 
     def run(batches):
-        out: list[tuple] = []
-        for g in _groups(batches, ("token", "x", "y")):
-            order = np.argsort(g["n"], kind="stable")
-            g = {k: v[order] for k, v in g.items()}
-            same = g["x"][0] == g["y"][0]
-            left = g if same else {k: v[g["salt"] == g["x"]] for k, v in g.items()}
-            right = g if same else {k: v[g["salt"] == g["y"]] for k, v in g.items()}
-            for i, j in _tiles(left["n"], right["n"], percent, same):
-                ok, apart = _allowed(left, right, i, j, percent)
-                ok &= left["label"][i][:, None] != right["label"][j][None, :]
-                r, c = np.nonzero(ok)
-                if len(r):
-                    a, b = left["cid"][i][r], right["cid"][j][c]
-                    pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-                    out.append((pair[0], pair[1], np.zeros(pair.shape[1])))
-            if sum(len(x[0]) for x in out) > 20_000:
-                yield _pairs(out)
-                out = []
-        if out:
-            yield _pairs(out)
+        held: list[np.ndarray] = []
+
+        def pairs():
+            pair = np.unique(np.concatenate(held, axis=1), axis=1)
+            return _packed_pairs(pair[0], pair[1], np.zeros(pair.shape[1]))
+
+        for a, b, _ in _candidates(batches, ("token", "x", "y"), percent):
+            held.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+            if sum(x.shape[1] for x in held) > 200_000:
+                yield pairs()
+                held = []
+        if held:
+            yield pairs()
 
     return run
 
@@ -307,20 +328,29 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
         from zstandard import ZstdDecompressor
 
         z = ZstdDecompressor()
+
+        def similar(data: list[bytes]) -> list[bool]:
+            off = np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)
+            h, soff = sets_of(np.frombuffer(b"".join(data), np.uint8), off, k)
+            keep = []
+            for i in range(0, len(data), 2):
+                a, b = h[soff[i] : soff[i + 1]], h[soff[i + 1] : soff[i + 2]]
+                both = np.concatenate([a, b])
+                both.sort()
+                shared = int((both[1:] == both[:-1]).sum())
+                keep.append(100 * shared >= percent * (len(a) + len(b) - shared))
+            return keep
+
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
-                data = [z.decompress(x) for side in ("za", "zb") for x in part[side].to_pylist()]
-                off = np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)
-                h, soff = sets_of(np.frombuffer(b"".join(data), np.uint8), off, k)
-                m, keep = part.num_rows, []
-                for i in range(m):
-                    a, b = h[soff[i] : soff[i + 1]], h[soff[m + i] : soff[m + i + 1]]
-                    both = np.concatenate([a, b])
-                    both.sort()
-                    shared = int((both[1:] == both[:-1]).sum())
-                    keep.append(100 * shared >= percent * (len(a) + len(b) - shared))
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keep, data, weight = [], [], 0
+            for x, y in zip(batch["za"], batch["zb"], strict=True):
+                data += [z.decompress(x.as_buffer()), z.decompress(y.as_buffer())]
+                weight += len(data[-1]) + len(data[-2])
+                if weight >= PAIR_BYTES:
+                    keep += similar(data)
+                    data, weight = [], 0
+            keep += similar(data) if data else []
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = pairs.join(texts.select(F.col("cid").alias("a"), F.col("z").alias("za")), "a")
     both = left.join(texts.select(F.col("cid").alias("b"), F.col("z").alias("zb")), "b")
