@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,7 +10,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHUNK = 1 << 20  # bytes of text that the vectorised kernels take at once
 
@@ -44,6 +44,18 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Arrow batches of fewer rows for the jobs run inside, where rows are long; the session's setting comes back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 # ---------------------------------------------------------------- batches
 
 
@@ -193,7 +205,3 @@ def sha256_hex(data) -> str:
     import hashlib
 
     return hashlib.sha256(data).hexdigest()
-
-
-def hot_safe_count(df: DataFrame) -> int:
-    return df.select(F.lit(1)).count()

@@ -37,7 +37,8 @@ BLOCKS = 64  # in which the cells are summed
 SPLIT = 512  # members of a frequent shingle that meet in one group
 TILE = 512  # rows that are compared with as many at once
 SMALL = 32  # members of groups that are compared many groups at once
-PAIR_BYTES = 1 << 20  # of texts whose pairs are verified at once
+PIECE = 1 << 18  # bytes of text that are hashed at once
+PAIR_BYTES = PIECE  # of texts whose pairs are verified at once
 MAP_IDS = 2_000_000  # ids that may go to every worker; beyond that they are joined
 
 
@@ -59,7 +60,7 @@ def _cell_counts(docs: DataFrame, k: int, bits: int) -> np.ndarray:
 
     def count(batches):
         total = np.zeros(1 << bits, np.int64)
-        for _, buf, off in common.parts(batches, "text"):
+        for _, buf, off in common.parts(batches, "text", PIECE):
             h, _ = sets_of(buf, off, k)
             total += np.bincount((h & U((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
         yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([zlib.compress(total[i * per : (i + 1) * per].astype("<i8").tobytes(), 1) for i in range(BLOCKS)], pa.binary())], names=["block", "cells"])
@@ -107,7 +108,7 @@ def _describe(docs: DataFrame, k: int, percent: int, bits: int, split: int) -> D
         from xxhash import xxh3_128_digest
 
         order, hot, hot_salts = shared.value
-        for part, buf, off in common.parts(batches, "text"):
+        for part, buf, off in common.parts(batches, "text", PIECE):
             h, soff = sets_of(buf, off, k)
             n = np.diff(soff)
             cell = (h & U((1 << bits) - 1)).astype(np.int64)
@@ -309,7 +310,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
         from zstandard import ZstdCompressor
 
         z = ZstdCompressor(level=1)
-        for _, buf, off in common.parts(batches, "text"):
+        for _, buf, off in common.parts(batches, "text", PIECE):
             h, soff = sets_of(buf, off, k)
             n = len(off) - 1
             yield pa.RecordBatch.from_arrays(
@@ -321,8 +322,10 @@ def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return materialize(packed.join(wanted.select("c", "cid"), "c").select("cid", "z"), "ngram-texts", "none")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets are similar enough."""
+    members = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    texts = _texts(docs, classes.join(members, "cid", "left_semi").select("cid", "c", "doc_id"), k)
 
     def run(batches):
         from zstandard import ZstdDecompressor
@@ -367,21 +370,30 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, bits: int
     (links inside what was already one component are not looked for).
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with common.small_batches(docs.sparkSession):
+        rows, classes, links, roots = _search(docs, k, percent, bits, split)
+    degree = links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").count()
+    known = classes.select("c", "cid", "doc_id", "size").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    least = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    found = known.join(least, "root").join(degree, "cid", "left").select("c", "size", "component_id", "count")
+    return rows.select("doc_id", "n", "c").join(found, "c", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("size", F.lit(1)).alias("class_size"), F.coalesce("count", F.lit(0)).alias("n_links"))
+
+
+def _search(docs: DataFrame, k: int, percent: int, bits: int, split: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The described rows, their classes, the links that tell the components, and each linked class's root."""
     rows = materialize(_describe(docs, k, percent, bits, split), "ngram-rows")
     grouped = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("salts").alias("salts"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
     classes = materialize(grouped.withColumn("cid", F.monotonically_increasing_id()), "ngram-classes")
     entries = classes.select("cid", "n", F.posexplode(F.arrays_zip("prefix", "salts")).alias("pos", "e")).select(
         F.col("e.prefix").alias("token"), F.pmod(F.xxhash64("cid", "e.prefix"), F.col("e.salts").cast("long")).cast("int").alias("salt"), F.col("e.salts").alias("salts"), "cid", F.col("n").cast("int").alias("n"), "pos")
     met = entries.repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(_met, entries.schema)
-    met = materialize(met, "ngram-met")
-    signed = materialize(met.join(classes.select("cid", "s1", "s2"), "cid"), "ngram-signed")
+    signed = materialize(materialize(met, "ngram-met").join(classes.select("cid", "s1", "s2"), "cid"), "ngram-signed")
 
     mates = signed.repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(_nearest(percent), "a long, b long, apart long")
     best = mates.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
     first = materialize(best, "ngram-first")
-    # a frequent shingle's members may have no candidate in their own salt, so all that met may be needed
-    texts = _texts(docs, classes.join(met.select("cid").distinct(), "cid", "left_semi").select("cid", "c", "doc_id"), k)
-    links = materialize(_verify(first, texts, k, percent), "ngram-links")
+    links = materialize(_verify(docs, classes, first, k, percent), "ngram-links")
     roots = components(links, "ngram-first")
 
     labelled = signed.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("label", F.coalesce("root", "cid")).drop("root")
@@ -393,15 +405,8 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, bits: int
     dealt = open_.withColumn("o", other).withColumn("x", F.least("salt", "o")).withColumn("y", F.greatest("salt", "o")).drop("o")
     across = dealt.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(_across(percent), "a long, b long, apart long")
     second = materialize(across.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "ngram-second")
-    links = materialize(links.unionByName(_verify(second, texts, k, percent)), "ngram-links")
-    roots = components(links, "ngram-all")
-
-    degree = links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").count()
-    known = classes.select("c", "cid", "doc_id", "size").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    least = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = known.join(least, "root").join(degree, "cid", "left").select("c", "size", "component_id", "count")
-    return rows.select("doc_id", "n", "c").join(found, "c", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("size", F.lit(1)).alias("class_size"), F.coalesce("count", F.lit(0)).alias("n_links"))
+    links = materialize(links.unionByName(_verify(docs, classes, second, k, percent)), "ngram-links")
+    return rows, classes, links, components(links, "ngram-all")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
