@@ -9,6 +9,7 @@ from . import line_spread as _lines
 from . import media_archive as _media
 from . import mixing as _mixing
 from . import ngram_join as _ngrams
+from . import repeats as _repeats
 from . import secrets as _secrets
 from . import token_counts as _token_counts
 from .common import read_table, scratch_path
@@ -46,6 +47,10 @@ def op5_decontamination(spark, sf_dir):
     return found.drop("spans")
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    return _repeats.digest(_repeats.cut_repeats(read_table(spark, sf_dir, "documents")))
+
+
 def op7_quality_classifier(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     return _quality.score(docs, _quality.train(docs, read_table(spark, sf_dir, "labels")))
@@ -71,6 +76,7 @@ QUERIES = {
     "op3_licence_scan": op3_licence_scan,
     "op4_line_dedup": op4_line_dedup,
     "op5_decontamination": op5_decontamination,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_secret_scan": op8_secret_scan,
     "op9_token_counts": op9_token_counts,
