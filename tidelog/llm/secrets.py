@@ -15,7 +15,6 @@ A null or empty text has no spans. Repeated rows are scanned each. Long texts ar
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 
@@ -237,7 +236,3 @@ def redact(text: str | None, spans: list[tuple[int, int]], mark: str = "[secret]
             out += [text[at : max(start, at)], mark if start >= at else ""]
             at = end
     return "".join([*out, text[at:]])
-
-
-def sha(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
