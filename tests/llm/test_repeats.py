@@ -52,11 +52,11 @@ def made_up(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "most"), [(1, 1 << 26), (2, 0)])
-def test_against_brute_force(spark, seed, most):
+@pytest.mark.parametrize(("seed", "most", "crowded"), [(1, 1 << 26, 512), (2, 0, 3)])
+def test_against_brute_force(spark, seed, most, crowded):
     rows = made_up(seed)
     docs = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id long, text string, t int, spans string").repartition(3)
-    assert order(digest(cut_repeats(docs, map_bytes=most)).collect()) == order(brute(rows, 100))
+    assert order(digest(cut_repeats(docs, map_bytes=most, crowded=crowded)).collect()) == order(brute(rows, 100))
     assert cut_repeats(docs.limit(0), map_bytes=most).count() == 0
 
 

@@ -14,8 +14,11 @@ they are dealt out first, by content and without loss:
    the transforms are read. Rows that part at step h + 1 have a common prefix of h, so after LENGTH steps the blocks
    that haven't parted are the repeated strings. All rows of a block but the earliest start a string that goes.
 
-Owners that crowd a batch are salted before the shuffle (a marker row keeps the count right), and contexts that share no
-window hash with another context of their owner are left out before step 3, which decides for itself.
+Owners that crowd a batch are salted before the shuffle (a marker row keeps the count right). Windows fall into blocks of
+BLOCK distances to their owner; a context none of whose blocks' common cores (LENGTH - BLOCK + 1 bytes) stands in another
+context has no repeated window and is left out before step 3, which decides for itself. Where more than CROWDED
+contexts of one owner are left, a task would have to hold them all: their windows are reduced to the earliest by
+hash instead, with partial sums before the shuffle. This is the only place where hashes have the last word on bytes.
 
 Nulls: a null text is empty. Rows that share a doc_id count as one document: of equal strings the one of smaller start is
 earlier, at one start neither is. A null doc_id is behind all others. An empty table gives no rows.
@@ -37,6 +40,8 @@ SHARDS = 4  # transforms that a task merges
 BIN = 2 << 20  # bytes of contexts that a task merges at once, more only where one owner has more
 CROWD = 64  # rows of one owner in a batch that make it a hot one
 SALTS = 64
+BLOCK = 8  # distances to the owner whose windows share a core
+CROWDED = 512  # contexts of one owner that are merged in a task
 SLICE = 4 << 20  # of a long text, handled at once
 LAST = (1 << 63) - 1  # stands for a null doc_id
 MAP_BYTES = 64 << 20  # of spans that may go to every worker; beyond that they are joined
@@ -323,6 +328,47 @@ def _shared(table: pa.Table, length: int) -> np.ndarray:
     return keep
 
 
+def _offsets(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of each range, its places): starts[i], starts[i] + 1, ... counts[i] of them."""
+    which = np.repeat(np.arange(len(counts)), counts)
+    return which, np.repeat(starts - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(int(counts.sum()))
+
+
+def _cores(length: int):
+    """(core's hash, context) for each block of a context's windows."""
+
+    def run(batches):
+        for part, buf, off in common.parts(batches, "ctx"):
+            m, d, a = (part[k].to_numpy().astype(np.int64) for k in ("m", "d", "a"))
+            c, q = common.rolling(buf)
+            # the windows of a run stand at distances d, d - 1, ... d - m + 1 before their owner
+            low, high = (d - m + 1) // BLOCK, d // BLOCK
+            which, j = _offsets(low, high - low + 1)
+            # what all windows of a block's distances have in common; it lies inside the context for each block of the run
+            start = off[:-1][which] + d[which] - BLOCK * j
+            stop = start - (BLOCK - 1) + length
+            key = common.mix(common.mix((c[stop] - c[start]) * q[start]) + a[which].view(np.uint64) * U(0x9E3779B97F4A7C15) + j.astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part["cid"].take(pa.array(which))], names=["k", "cid"])
+
+    return run
+
+
+def _windows(length: int):
+    """(hash, doc_id, t, start) of each window of each context."""
+
+    def run(batches):
+        for part, buf, off in common.parts(batches, "ctx", common.CHUNK // 8):
+            m, d, a, p = (part[k].to_numpy().astype(np.int64) for k in ("m", "d", "a", "p"))
+            c, q = common.rolling(buf)
+            which, x = _offsets(np.zeros(len(m), np.int64), m)
+            at = off[:-1][which] + x
+            key = common.mix(common.mix((c[at + length] - c[at]) * q[at]) + a[which].view(np.uint64) * U(0x9E3779B97F4A7C15) + (d[which] - x).astype(np.uint64))
+            pick = pa.array(which)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part["doc_id"].take(pick), part["t"].take(pick), pa.array(p[which] + x)], names=["w", "doc_id", "t", "start"])
+
+    return run
+
+
 def _merge_contexts(length: int, shards: int):
     def run(batches):
         for table in _tables(batches, ("a",), BIN):
@@ -345,7 +391,7 @@ def _merge_contexts(length: int, shards: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shards: int = SHARDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shards: int = SHARDS, crowded: int = CROWDED) -> DataFrame:
     """(doc_id, t, start, end): byte spans to remove, overlapping as they come; t tells rows of one doc_id apart."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") >= length)
     with common.small_batches(docs.sparkSession, 2000):
@@ -360,8 +406,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
         open_ = first.join(several, "a").select("a", "f.*").groupBy("doc_id").agg(F.collect_list(F.struct("a", "t", "p", "m", "d")).alias("runs"))
         texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text").mapInArrow(_zip, "doc_id long, z binary")
         contexts = texts.join(open_, "doc_id").select("doc_id", "z", "runs").mapInArrow(_contexts(length), "a long, doc_id long, t int, p int, m int, d int, ctx binary")
-        merged = contexts.repartition("a").sortWithinPartitions("a").mapInArrow(_merge_contexts(length, shards), "doc_id long, t int, start long, end long")
-        return materialize(whole.unionByName(merged), "repeats-spans")
+        contexts = materialize(contexts.withColumn("cid", F.monotonically_increasing_id()), "repeats-contexts")
+        cores = materialize(contexts.mapInArrow(_cores(length), "k long, cid long"), "repeats-cores")
+        twins = cores.groupBy("k").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi").select("k")
+        live = materialize(contexts.join(cores.join(twins, "k").select("cid").distinct(), "cid", "left_semi"), "repeats-live")
+        crowds = materialize(live.groupBy("a").count().where(F.col("count") > crowded).select("a"), "repeats-crowds")
+        apart = live.join(crowds, "a", "left_anti")
+        merged = apart.repartition("a").sortWithinPartitions("a").mapInArrow(_merge_contexts(length, shards), "doc_id long, t int, start long, end long")
+        windows = materialize(live.join(crowds, "a", "left_semi").mapInArrow(_windows(length), "w long, doc_id long, t int, start long"), "repeats-windows")
+        least = windows.groupBy("w").agg(F.min(F.struct("doc_id", "start")).alias("f"))
+        later = windows.join(least, "w").where((F.col("doc_id") > F.col("f.doc_id")) | (F.col("start") > F.col("f.start")))
+        crowd = later.select("doc_id", "t", "start", (F.col("start") + length).alias("end"))
+        return materialize(whole.unionByName(merged).unionByName(crowd), "repeats-spans")
 
 
 def _zip(batches):
