@@ -36,6 +36,8 @@ BITS = 20  # 2^BITS cells of shingle counts: one byte each goes to every worker
 BLOCKS = 64  # in which the cells are summed
 SPLIT = 512  # members of a frequent shingle that meet in one group
 TILE = 512  # rows that are compared with as many at once
+WHOLE = 1024  # rows of a group that are compared all with all to find its forest
+FAR = 1 << 14  # no distance of signatures
 SMALL = 32  # members of groups that are compared many groups at once
 PIECE = 1 << 18  # bytes of text that are hashed at once
 PAIR_BYTES = PIECE  # of texts whose pairs are verified at once
@@ -82,6 +84,15 @@ def _cell_counts(docs: DataFrame, k: int, bits: int) -> np.ndarray:
     return out
 
 
+def _strong(h: np.ndarray, off: np.ndarray, bits: int = 1024) -> list[bytes]:
+    """As the signature, of more bits: for pairs that passed it."""
+    row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    bit = ((h >> U(32)) & U(bits - 1)).astype(np.int64)
+    odd = np.bincount(row * bits + bit, minlength=(len(off) - 1) * bits).astype(np.uint8) & 1
+    packed = np.packbits(odd.reshape(-1, bits), axis=1)
+    return [x.tobytes() for x in packed]
+
+
 def _signature(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Parities of how many of a set's hashes fall on each of 128 bits."""
     bit = (h >> U(50)) & U(127)
@@ -93,7 +104,7 @@ def _signature(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-_ROWS = "doc_id long, n long, c binary, prefix array<long>, salts array<int>, s1 long, s2 long"
+_ROWS = "doc_id long, n long, c binary, prefix array<long>, salts array<int>, s1 long, s2 long, strong binary"
 
 
 def _describe(docs: DataFrame, k: int, percent: int, bits: int, split: int) -> DataFrame:
@@ -125,8 +136,8 @@ def _describe(docs: DataFrame, k: int, percent: int, bits: int, split: int) -> D
             digests = [xxh3_128_digest(h[soff[i] : soff[i + 1]].tobytes()) for i in range(len(n))]
             to = pa.array(poff, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [part["doc_id"], pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(to, pa.array(h[at].view(np.int64))), pa.ListArray.from_arrays(to, pa.array(salt)), pa.array(s1), pa.array(s2)],
-                names=["doc_id", "n", "c", "prefix", "salts", "s1", "s2"],
+                [part["doc_id"], pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(to, pa.array(h[at].view(np.int64))), pa.ListArray.from_arrays(to, pa.array(salt)), pa.array(s1), pa.array(s2), pa.array(_strong(h, soff), pa.binary())],
+                names=["doc_id", "n", "c", "prefix", "salts", "s1", "s2", "strong"],
             )
 
     return docs.mapInArrow(run, _ROWS)
@@ -164,9 +175,27 @@ def _tiles(n: np.ndarray, m: np.ndarray, percent: int, same: bool):
                 yield slice(i, i + TILE), slice(j, j + TILE)
 
 
-def _candidates(batches, keys: tuple, percent: int):
+def _tree(apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (i, j) of a least spanning forest over pairs nearer than FAR, grown from row after row."""
+    n = len(apart)
+    out, near, via = np.zeros(n, bool), np.full(n, FAR, apart.dtype), np.zeros(n, np.int64)
+    ends: list[tuple[int, int]] = []
+    for _ in range(n):
+        i = int(np.where(out, FAR + 1, near).argmin())
+        if near[i] < FAR:
+            ends.append((int(via[i]), i))
+        out[i] = True
+        closer = apart[i] < near
+        near[closer], via[closer] = apart[i][closer], i
+    pairs = np.array(ends, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _candidates(batches, keys: tuple, percent: int, trees: bool = False):
     """(a, b, apart) arrays of the pairs that pass the filters within groups of equal keys.
 
+    With trees, groups of SMALL to WHOLE rows give only the edges of a least spanning forest, with apart -1.
+
     Small groups are compared all at once, row by row with the row k places on; larger ones in tiles. Where the keys hold
     two salts, only rows of the one meet rows of the other.
     """
@@ -196,6 +225,11 @@ def _candidates(batches, keys: tuple, percent: int):
                 yield a["cid"][ok], b["cid"][ok], apart[ok]
         for g in np.flatnonzero(size > SMALL):
             whole = {c: v[edges[g] : edges[g + 1]] for c, v in t.items()}
+            if trees and size[g] <= WHOLE:
+                ok, apart = compare({c: v[:, None] for c, v in whole.items()}, {c: v[None, :] for c, v in whole.items()})
+                i, j = _tree(np.where(ok, apart, FAR).astype(np.int16))
+                yield whole["cid"][i], whole["cid"][j], np.full(len(i), -1)
+                continue
             for i, j in _tiles(whole["n"], whole["n"], percent, True):
                 a, b = {c: v[i][:, None] for c, v in whole.items()}, {c: v[j][None, :] for c, v in whole.items()}
                 ok, apart = compare(a, b)
@@ -237,7 +271,7 @@ def _packed_pairs(a, b, apart) -> pa.RecordBatch:
 
 
 def _nearest(percent: int):
-    """Each row's nearest candidate, over the groups at hand: about one pair a class at most."""
+    """Each row's nearest candidate over the groups at hand, and the forests of larger groups: at most one pair a row."""
 
     def best(found):
         a = np.concatenate([x for f in found for x in (f[0], f[1])])
@@ -250,7 +284,10 @@ def _nearest(percent: int):
 
     def run(batches):
         found: list[tuple] = []
-        for f in _candidates(batches, ("token", "salt"), percent):
+        for f in _candidates(batches, ("token", "salt"), percent, trees=True):
+            if len(f[2]) and f[2][0] < 0:
+                yield _packed_pairs(np.minimum(f[0], f[1]), np.maximum(f[0], f[1]), f[2])
+                continue
             found.append(f)
             if sum(len(x[0]) for x in found) > 500_000:
                 found = [best(found)]
@@ -322,6 +359,21 @@ def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return materialize(packed.join(wanted.select("c", "cid"), "c").select("cid", "z"), "ngram-texts", "none")
 
 
+def _near_enough(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose strong signatures differ in no more bits than linked sets may in shingles."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b[k].to_pylist()), np.uint64).reshape(b.num_rows, -1) for k in ("xs", "ys"))
+                n = b["xn"].to_numpy() + b["yn"].to_numpy()
+                most = n - 2 * ((percent * n + percent + 99) // (100 + percent))
+                yield b.select(["a", "b"]).filter(pa.array(np.bitwise_count(x ^ y).sum(1) <= most))
+
+    side = lambda k, p: classes.select(F.col("cid").alias(k), F.col("strong").alias(f"{p}s"), F.col("n").alias(f"{p}n"))
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(run, "a long, b long")
+
+
 def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose full sets are similar enough."""
     members = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
@@ -383,7 +435,7 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, bits: int
 def _search(docs: DataFrame, k: int, percent: int, bits: int, split: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The described rows, their classes, the links that tell the components, and each linked class's root."""
     rows = materialize(_describe(docs, k, percent, bits, split), "ngram-rows")
-    grouped = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("salts").alias("salts"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
+    grouped = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("salts").alias("salts"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("strong").alias("strong"))
     classes = materialize(grouped.withColumn("cid", F.monotonically_increasing_id()), "ngram-classes")
     entries = classes.select("cid", "n", F.posexplode(F.arrays_zip("prefix", "salts")).alias("pos", "e")).select(
         F.col("e.prefix").alias("token"), F.pmod(F.xxhash64("cid", "e.prefix"), F.col("e.salts").cast("long")).cast("int").alias("salt"), F.col("e.salts").alias("salts"), "cid", F.col("n").cast("int").alias("n"), "pos")
@@ -391,7 +443,9 @@ def _search(docs: DataFrame, k: int, percent: int, bits: int, split: int) -> tup
     signed = materialize(materialize(met, "ngram-met").join(classes.select("cid", "s1", "s2"), "cid"), "ngram-signed")
 
     mates = signed.repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(_nearest(percent), "a long, b long, apart long")
-    best = mates.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
+    mates = materialize(mates, "ngram-mates")
+    trees = mates.where("apart < 0").select("a", "b")
+    best = mates.where("apart >= 0").groupBy("a").agg(F.min(F.struct("apart", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).unionByName(trees).distinct()
     first = materialize(best, "ngram-first")
     links = materialize(_verify(docs, classes, first, k, percent), "ngram-links")
     roots = components(links, "ngram-first")
@@ -404,7 +458,8 @@ def _search(docs: DataFrame, k: int, percent: int, bits: int, split: int) -> tup
     other = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
     dealt = open_.withColumn("o", other).withColumn("x", F.least("salt", "o")).withColumn("y", F.greatest("salt", "o")).drop("o")
     across = dealt.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(_across(percent), "a long, b long, apart long")
-    second = materialize(across.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "ngram-second")
+    second = materialize(across.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "ngram-across")
+    second = materialize(_near_enough(classes, second, percent), "ngram-second")
     links = materialize(links.unionByName(_verify(docs, classes, second, k, percent)), "ngram-links")
     return rows, classes, links, components(links, "ngram-all")
 
