@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -28,12 +28,16 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         hooks.append(hook)
         on_a = left.join(hook.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
         on_b = on_a.join(hook.select(F.col("node").alias("b"), F.col("to").alias("y")), "b").where("x <> y")
-        left = materialize(on_b.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{name}-edges")
+        redrawn = materialize(on_b.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{name}-edges")
+        discard(left)
+        left = redrawn
     if not hooks:
-        return edges.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
+        return materialize(left.select(F.col("a").alias("node"), F.col("a").alias("root")), f"{name}-roots")  # no rows
     roots = hooks[-1].select("node", F.col("to").alias("root"))
     for hook in reversed(hooks[:-1]):
         # a node that a later round doesn't know has lost all its edges: what it hooked to is its root
         later = roots.select(F.col("node").alias("to"), "root")
         roots = hook.join(later, "to", "left").select("node", F.coalesce("root", "to").alias("root"))
-    return materialize(roots, f"{name}-roots")
+    roots = materialize(roots, f"{name}-roots")
+    discard(left, *hooks)
+    return roots

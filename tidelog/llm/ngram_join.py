@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import U, materialize
+from .common import U, discard, materialize
 from .components import components
 
 BITS = 20  # 2^BITS cells of shingle counts: one byte each goes to every worker
@@ -409,7 +409,9 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, perce
 
     left = pairs.join(texts.select(F.col("cid").alias("a"), F.col("z").alias("za")), "a")
     both = left.join(texts.select(F.col("cid").alias("b"), F.col("z").alias("zb")), "b")
-    return both.select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
+    links = materialize(both.select("a", "b", "za", "zb").mapInArrow(run, "a long, b long"), "ngram-links")
+    discard(texts)
+    return links
 
 
 # ---------------------------------------------------------------- the join
@@ -440,27 +442,33 @@ def _search(docs: DataFrame, k: int, percent: int, bits: int, split: int) -> tup
     entries = classes.select("cid", "n", F.posexplode(F.arrays_zip("prefix", "salts")).alias("pos", "e")).select(
         F.col("e.prefix").alias("token"), F.pmod(F.xxhash64("cid", "e.prefix"), F.col("e.salts").cast("long")).cast("int").alias("salt"), F.col("e.salts").alias("salts"), "cid", F.col("n").cast("int").alias("n"), "pos")
     met = entries.repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(_met, entries.schema)
-    signed = materialize(materialize(met, "ngram-met").join(classes.select("cid", "s1", "s2"), "cid"), "ngram-signed")
+    met = materialize(met, "ngram-met")
+    signed = materialize(met.join(classes.select("cid", "s1", "s2"), "cid"), "ngram-signed")
+    discard(met)
 
     mates = signed.repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(_nearest(percent), "a long, b long, apart long")
     mates = materialize(mates, "ngram-mates")
     trees = mates.where("apart < 0").select("a", "b")
     best = mates.where("apart >= 0").groupBy("a").agg(F.min(F.struct("apart", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).unionByName(trees).distinct()
     first = materialize(best, "ngram-first")
-    links = materialize(_verify(docs, classes, first, k, percent), "ngram-links")
+    discard(mates)
+    links = _verify(docs, classes, first, k, percent)
     roots = components(links, "ngram-first")
 
     labelled = signed.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("label", F.coalesce("root", "cid")).drop("root")
     labelled = materialize(labelled, "ngram-labelled")
+    discard(signed, roots)
     mixed = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
     open_ = labelled.join(mixed, "token", "left_semi")
     # salts meet in pairs: a row goes to each pair that holds its salt
     other = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
     dealt = open_.withColumn("o", other).withColumn("x", F.least("salt", "o")).withColumn("y", F.greatest("salt", "o")).drop("o")
     across = dealt.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(_across(percent), "a long, b long, apart long")
-    second = materialize(across.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "ngram-across")
-    second = materialize(_near_enough(classes, second, percent), "ngram-second")
-    links = materialize(links.unionByName(_verify(docs, classes, second, k, percent)), "ngram-links")
+    met = materialize(across.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "ngram-across")
+    second = materialize(_near_enough(classes, met, percent), "ngram-second")
+    discard(labelled, first, met)
+    links = links.unionByName(_verify(docs, classes, second, k, percent))
+    discard(second)
     return rows, classes, links, components(links, "ngram-all")
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import U, materialize
+from .common import U, discard, materialize
 
 LENGTH = 100
 GRAM = 24
@@ -410,6 +410,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
         cores = materialize(contexts.mapInArrow(_cores(length), "k long, cid long"), "repeats-cores")
         twins = cores.groupBy("k").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi").select("k")
         live = materialize(contexts.join(cores.join(twins, "k").select("cid").distinct(), "cid", "left_semi"), "repeats-live")
+        discard(contexts, cores)
         crowds = materialize(live.groupBy("a").count().where(F.col("count") > crowded).select("a"), "repeats-crowds")
         apart = live.join(crowds, "a", "left_anti")
         merged = apart.repartition("a").sortWithinPartitions("a").mapInArrow(_merge_contexts(length, shards), "doc_id long, t int, start long, end long")
@@ -417,7 +418,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
         least = windows.groupBy("w").agg(F.min(F.struct("doc_id", "start")).alias("f"))
         later = windows.join(least, "w").where((F.col("doc_id") > F.col("f.doc_id")) | (F.col("start") > F.col("f.start")))
         crowd = later.select("doc_id", "t", "start", (F.col("start") + length).alias("end"))
-        return materialize(whole.unionByName(merged).unionByName(crowd), "repeats-spans")
+        spans = materialize(whole.unionByName(merged).unionByName(crowd), "repeats-spans")
+        discard(met, first, live, crowds, windows)
+        return spans
 
 
 def _zip(batches):
@@ -478,6 +481,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, map_bytes: int = MAP_BYTE
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes, maybe not whole characters) of each row of docs."""
     spans = repeated_spans(docs, length, **options)
     packed = materialize(spans.repartition("doc_id", "t").sortWithinPartitions("doc_id", "t").mapInArrow(_by_document, "doc_id long, t int, spans binary"), "repeats-cuts")
+    discard(spans)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = packed.agg(F.sum(F.octet_length("spans") + 16)).first()[0] or 0
     if size <= map_bytes:
