@@ -473,7 +473,10 @@ def _search(docs: DataFrame, k: int, percent: int, bits: int, split: int) -> tup
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs but for near copies: of each component only the row whose doc_id is its id (once, if repeated)."""
+    """The rows of docs but for near copies: of each component only the row whose doc_id is its id (once, if repeated).
+
+    Rows with a null doc_id can't be told apart and all stay.
+    """
     found = similar_components(docs, k, percent).where("n_shingles > 0")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
