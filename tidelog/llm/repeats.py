@@ -41,7 +41,7 @@ BIN = 2 << 20  # bytes of contexts that a task merges at once, more only where o
 CROWD = 64  # rows of one owner in a batch that make it a hot one
 SALTS = 64
 BLOCK = 8  # distances to the owner whose windows share a core
-CROWDED = 512  # contexts of one owner that are merged in a task
+CROWDED = 15_000  # contexts of one owner that are merged in a task: as many as a bin holds
 SLICE = 4 << 20  # of a long text, handled at once
 LAST = (1 << 63) - 1  # stands for a null doc_id
 MAP_BYTES = 64 << 20  # of spans that may go to every worker; beyond that they are joined
