@@ -18,7 +18,8 @@ Owners that crowd a batch are salted before the shuffle (a marker row keeps the
 BLOCK distances to their owner; a context none of whose blocks' common cores (LENGTH - BLOCK + 1 bytes) stands in another
 context has no repeated window and is left out before step 3, which decides for itself. Where more than CROWDED
 contexts of one owner are left, a task would have to hold them all: their windows are reduced to the earliest by
-hash instead, with partial sums before the shuffle. This is the only place where hashes have the last word on bytes.
+hash instead, with partial sums before the shuffle. There, and where whole runs are told equal in step 1 (owner and run
+by 64 bits each), hashes have the last word on bytes.
 
 Nulls: a null text is empty. Rows that share a doc_id count as one document: of equal strings the one of smaller start is
 earlier, at one start neither is. A null doc_id is behind all others. An empty table gives no rows.
