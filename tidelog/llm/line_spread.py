@@ -59,7 +59,7 @@ def _cut_by_map(docs: DataFrame, hashes: DataFrame) -> DataFrame:
         from xxhash import xxh64_intdigest
 
         drop = set(shared.value.astype(np.uint64).tolist())
-        for batch in batches:
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             at = batch.schema.get_field_index("text")
             texts, counts = batch.column(at).to_pylist(), []
             for i, text in enumerate(texts):

@@ -325,29 +325,26 @@ def _across(percent: int):
 
 def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(cid, packed text) of the classes in wanted(cid, c, doc_id), each from one of its documents."""
-    spark = docs.sparkSession
-    have = F.col("doc_id").isNotNull()
+    shared = None
     if wanted.count() <= MAP_IDS:
-        ids = np.array(sorted({r.doc_id for r in wanted.where(have).select("doc_id").toLocalIterator()}), np.int64)
-        shared = spark.sparkContext.broadcast(ids)
-
-        def only(batches):
-            import pyarrow.compute as pc
+        ids = np.array(sorted({r.doc_id for r in wanted.where("doc_id is not null").select("doc_id").toLocalIterator()}), np.int64)
+        shared = docs.sparkSession.sparkContext.broadcast(ids)
+    else:
+        docs = docs.join(wanted.select("doc_id").distinct(), docs.doc_id.eqNullSafe(wanted.doc_id), "left_semi")
 
-            known = pa.array(shared.value)
-            for batch in batches:
-                yield batch.filter(pc.or_(pc.is_in(batch["doc_id"], value_set=known), pc.is_null(batch["doc_id"])))
+    def only(batches):
+        import pyarrow.compute as pc
 
-        some = docs.mapInArrow(only, docs.schema)
-    else:
-        some = docs.join(wanted.select("doc_id").distinct(), docs.doc_id.eqNullSafe(wanted.doc_id), "left_semi")
+        known = pa.array(shared.value)
+        for batch in batches:
+            yield batch.filter(pc.or_(pc.is_in(batch["doc_id"], value_set=known), pc.is_null(batch["doc_id"])))
 
     def pack(batches):
         from xxhash import xxh3_128_digest
         from zstandard import ZstdCompressor
 
         z = ZstdCompressor(level=1)
-        for _, buf, off in common.parts(batches, "text", PIECE):
+        for _, buf, off in common.parts(only(batches) if shared else batches, "text", PIECE):
             h, soff = sets_of(buf, off, k)
             n = len(off) - 1
             yield pa.RecordBatch.from_arrays(
@@ -355,7 +352,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 names=["c", "z"],
             )
 
-    packed = some.mapInArrow(pack, "c binary, z binary").groupBy("c").agg(F.first("z").alias("z"))
+    packed = docs.mapInArrow(pack, "c binary, z binary").groupBy("c").agg(F.first("z").alias("z"))
     return materialize(packed.join(wanted.select("c", "cid"), "c").select("cid", "z"), "ngram-texts", "none")
 
 
