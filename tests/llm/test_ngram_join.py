@@ -82,3 +82,13 @@ def test_components_of_a_chain_and_a_star(spark):
     assert len({got[i] for i in range(61)}) == 1 and len({got[i] for i in range(100, 150)}) == 1
     assert len(set(got.values())) == 2
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_texts_by_join_when_ids_are_many(spark, monkeypatch):
+    from tidelog.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "MAP_IDS", 0)
+    rows = near_copies(3, groups=2, members=12)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = similar_components(docs, 3, 90, bits=12).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows, 3, 90))
