@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from tidelog.llm.secrets import battery, digest, find_secrets, infer_encoding, redact, thresholds
+from tidelog.llm.secrets import battery, digest, find_secrets, infer_encoding, pieces, redact, thresholds
 
 
 def brute(text):
@@ -57,3 +57,21 @@ def test_battery_and_control():
     assert infer_encoding("12345678901234567890") is None and infer_encoding("deadbeef01") == "hex" and infer_encoding("Zz0+/a==") == "base64"
     assert thresholds({(0, 0): 1000, (0, 60): 10}) == {0: min(b for b in range(1, 61) if 10 ** (-b / 10) * 1010 <= 0.1)}
     assert redact("ab secret cd", [(3, 9), (5, 9)]) == "ab [secret] cd" and redact(None, []) is None
+
+
+def test_values_behind_an_equals_sign(spark):
+    r = random.Random(11)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(r.choice(chars) for _ in range(n))
+    prose = "the quick brown fox and the lazydogandtheotheranimalsofthefield went on their ways over the hills of internationalisation " * 30
+    wants = []
+    for before, behind in (("GITHUB_PAT=", "\n"), ("AWS_ACCESS=", " "), ("https://host.example/a?x=1&sig=", "&sp=r"), ("AccountKey=", "==;"), ("A=B=", ""), ("curl --header=X-Auth=", "= ")):
+        value = key(44)
+        padding = behind[: len(behind) - len(behind.lstrip("="))]
+        wants.append((f"{prose} {before}{value}{behind}", len(prose) + 1 + len(before), 44 + len(padding)))
+    docs = spark.createDataFrame([(i, w[0]) for i, w in enumerate(wants)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in digest(find_secrets(docs)).collect()}
+    for i, (text, at, n) in enumerate(wants):
+        assert f"random:{at}:{at + n}" in rows[i].spans.split(","), (text[at - 30 :], rows[i].spans)
+        assert rows[i].n_random == 1
+    assert pieces(b"A=bc==") == [(0, 1), (2, 6)] and pieces(b"==") == [] and pieces(b"=a") == [(1, 2)]

@@ -1,6 +1,7 @@
 """Secret scans: patterns, and a battery of randomness tests on the strings the patterns don't know.
 
-Every maximal run of [A-Za-z0-9+/_=-] of MIN_RUN characters or more is tested. Its encoding is inferred as the
+Maximal runs of [A-Za-z0-9+/_=-] are split behind every "=" that isn't padding at their end (the name in NAME=value, the
+value that follows), and each piece of MIN_RUN characters or more is tested. Its encoding is inferred as the
 smallest known alphabet that holds it (hex in either case, base 32, letters and digits, base 64 in either
 form). Under the hypothesis that it is random in that encoding, three tests look for deviations: chi-squared
 uniformity of the alphabet, runs above and below its middle, and lag-1 serial correlation; a run that any
@@ -105,6 +106,19 @@ def infer_encoding(run: str) -> str | None:
     return next((k for k, alphabet in ENCODINGS.items() if body <= set(alphabet)), None)
 
 
+def pieces(run: bytes) -> list[tuple[int, int]]:
+    """The parts of a run between "=", with the padding at its end kept to the last one."""
+    body = len(run.rstrip(b"="))
+    out, at = [], 0
+    for part in run[:body].split(b"="):
+        if part:
+            out.append((at, at + len(part)))
+        at += len(part) + 1
+    if out:
+        out[-1] = (out[-1][0], len(run))
+    return out
+
+
 def battery(run: str, encoding: str) -> dict[str, float]:
     """p-values of the three tests under randomness in the encoding."""
     alphabet = ENCODINGS[encoding]
@@ -168,7 +182,9 @@ def _scan(model: np.ndarray):
                     base[i] += [(a + x, kind, a + y) for x, kind, y in base_spans(data[a:b], lower[a:b])]
             s, e, _ = common.words(buf, off, _RUN)
             long = e - s >= MIN_RUN
-            for a, b in zip(s[long], e[long], strict=True):
+            for a, b in ((a + x, a + y) for a, b in zip(s[long], e[long], strict=True) for x, y in pieces(data[a:b])):
+                if b - a < MIN_RUN:
+                    continue
                 i = int(np.searchsorted(off, a, "right")) - 1
                 if any(x < b and a < y for x, _, y in base[i]):
                     continue
