@@ -24,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand on many sites are cut from the texts."""
-    return _recount(line_spread.cut_lines(docs), docs.columns)
+    """Lines that stand on many sites, for the number of sites there are, are cut from the texts."""
+    return _recount(line_spread.cut_lines(docs, line_spread.least_sites(docs)), docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

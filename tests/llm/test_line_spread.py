@@ -3,7 +3,8 @@ from collections import defaultdict
 import duckdb
 import pytest
 
-from tidelog.llm.line_spread import ORACLE_SQL, cut_lines, digest
+import corpus_pipeline as P
+from tidelog.llm.line_spread import ORACLE_SQL, cut_lines, digest, least_sites
 
 
 def brute(rows, least):
@@ -35,3 +36,18 @@ def test_both_ways_on_odd_rows(spark, most):
     key = lambda r: tuple((x is None, x) for x in r)
     assert sorted((tuple(r)[:3] for r in got.collect()), key=key) == sorted(brute(rows, 10), key=key)
     assert cut_lines(docs.limit(0), 10, map_hashes=most).count() == 0
+
+
+@pytest.mark.parametrize(("sites", "least"), [(2, 3), (5, 3), (9, 5), (18, 9), (20, 10), (40, 10)])
+def test_few_sites_in_the_pipeline(spark, sites, least):
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(s, f"own {s}\n" + "\n".join(f"{passage} {k}" for k in range(1, 13) if s < k), f"s{s}") for s in range(sites)]  # passage k is on k sites
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "cast(length(text) as long) as n_chars")
+    assert least_sites(docs) == least
+    got = dict(P.STAGES)["lines"](spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text, r.source) for r in got) == sorted(brute(rows, least))
+    assert any(passage in x[1] for x in brute(rows, least)) and all(f"{passage} {k}" not in r.text.split("\n") for r in got for k in range(least, min(sites, 12) + 1))
+
+
+def test_no_sites(spark):
+    assert least_sites(spark.createDataFrame([], "doc_id long, text string, source string")) == 3

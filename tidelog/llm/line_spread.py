@@ -23,16 +23,26 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 MIN_SITES = 10
+FEWEST = 3  # sites, however few a corpus has
 LG_K = 12  # sketches of 2^LG_K registers at most; few sites take a few bytes
 ERRORS = 4
 MAP_HASHES = 1_000_000
 STRIP = " \t\r"
 
 
+def _site():
+    return F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null"))
+
+
+def least_sites(docs: DataFrame) -> int:
+    """A threshold for corpora of few sites: half of the measured ones, FEWEST at least and MIN_SITES at most."""
+    sites = docs.select(_site().alias("site")).distinct().count()
+    return min(MIN_SITES, max(FEWEST, -(-sites // 2)))
+
+
 def _lines(docs: DataFrame, *keys) -> DataFrame:
     """(keys, site, pos, h): one row a line that isn't empty."""
-    site = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null"))
-    lines = docs.select(*keys, site.alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    lines = docs.select(*keys, _site().alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     bare = F.btrim("line", F.lit(STRIP))
     return lines.where(bare != "").select(*keys, "site", "pos", F.xxhash64(bare).alias("h"))
 
