@@ -92,3 +92,13 @@ def test_texts_by_join_when_ids_are_many(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = similar_components(docs, 3, 90, bits=12).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got)) == sorted(brute(rows, 3, 90))
+
+
+def test_links_are_named_as_those_used(spark):
+    """Near copies of one text are all linked in truth; the column says that it counts the links the search used."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join([*words[:i], f"x{i}", *words[i + 1 :]])) for i in range(40)]
+    got = similar_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90)
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "class_size", "n_links_used"]
+    got = got.collect()
+    assert {r.component_id for r in got} == {0} and all(1 <= r.n_links_used <= 39 for r in got)

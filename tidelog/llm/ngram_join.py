@@ -415,9 +415,9 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, perce
 
 
 def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, bits: int = BITS, split: int = SPLIT) -> DataFrame:
-    """doc_id, n_shingles, class_size, n_links and component_id of each row of docs(doc_id, text, ...).
+    """doc_id, n_shingles, class_size, n_links_used and component_id of each row of docs(doc_id, text, ...).
 
-    class_size counts the rows with the row's set; n_links those verified links of its class that the search needed
+    class_size counts the rows with the row's set; n_links_used those verified links of its class that the search needed
     (links inside what was already one component are not looked for).
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -428,7 +428,7 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, bits: int
     least = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     found = known.join(least, "root").join(degree, "cid", "left").select("c", "size", "component_id", "count")
     return rows.select("doc_id", "n", "c").join(found, "c", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("size", F.lit(1)).alias("class_size"), F.coalesce("count", F.lit(0)).alias("n_links"))
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("size", F.lit(1)).alias("class_size"), F.coalesce("count", F.lit(0)).alias("n_links_used"))
 
 
 def _search(docs: DataFrame, k: int, percent: int, bits: int, split: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
