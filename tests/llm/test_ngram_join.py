@@ -102,3 +102,33 @@ def test_links_are_named_as_those_used(spark):
     assert got.columns == ["doc_id", "n_shingles", "component_id", "class_size", "n_links_used"]
     got = got.collect()
     assert {r.component_id for r in got} == {0} and all(1 <= r.n_links_used <= 39 for r in got)
+
+
+def test_a_hot_shingle_in_a_saturated_table(spark):
+    """Many texts of one frequent passage, of which a few are near copies; all cells of the table are full."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(200)]
+    common = "this passage stands in very many of the texts"
+    rows = [f"{r.choice(words)} {common} {r.choice(words)}" for _ in range(900)]
+    rows += [" ".join([common] * 3 + [r.choice(words) for _ in range(6)]) for _ in range(300)]
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(brute(rows, 3, 80))
+    for options in ({}, {"bits": 6, "split": 16, "block": 64}):
+        got = similar_components(docs, 3, 80, **options).select("doc_id", "n_shingles", "component_id").collect()
+        assert sorted(map(tuple, got)) == want
+
+
+def test_strong_signatures_bound_the_difference():
+    import numpy as np
+
+    from tidelog.llm.ngram_join import _folded, _strong
+
+    g = np.random.Generator(np.random.PCG64(1))
+    for n, m in ((5, 5), (200, 230), (300, 5000), (4000, 4100)):
+        both = g.integers(0, 1 << 63, n // 2, dtype=np.uint64)
+        a, b = (np.concatenate([both, g.integers(0, 1 << 63, k - n // 2, dtype=np.uint64)]) for k in (n, m))
+        x, y = _strong(np.concatenate([a, b]), np.array([0, n, n + m]))
+        size = min(len(x), len(y)) // 8
+        apart = int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum())
+        assert apart <= len(set(a) ^ set(b)) and (apart > 0 or n == m == len(both))

@@ -1,17 +1,20 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
-1. Document frequencies of all shingle hashes, of all documents, are counted in a table of 2^bits cells; the
-   cell's count class (then the hash) is the global order, rare first. Any fixed order gives right results.
+1. Document frequencies of all shingle hashes, of all documents, are counted in a table of cells that is sized by
+   the corpus (LOAD shingles a cell, 2^MOST_BITS cells at most); the cell's count class (then the hash) is the
+   global order, rare first. Any fixed order gives right results.
 2. Every document gets its set size, a 128-bit digest of its set, its prefix (the first n - ceil(t n) + 1 shingles
-   in the order) and a 128-bit parity signature. Documents of one digest are one class from here on.
-3. Prefix entries of classes meet by shingle; frequent shingles are dealt out by salts that the cells suggest.
-   Two classes of a shingle are a candidate pair if sizes allow the similarity (length filter), if the shingles
-   around the common place allow the overlap (positional filter), and if their signatures differ in no more bits
-   than the sets may differ in shingles (suffix filter: a bound on the differences of all that is left).
-4. Links hold components together, so candidates come in two waves. First each class's nearest candidate by
-   signature in each group; those pairs are verified and contracted. Then all candidates between different
-   components. So a group of near copies yields as many pairs as members and not all pairs, and no link between
-   different components is lost.
+   in the order), a 128-bit parity signature and a strong one of about n bits. Documents of one digest are one class
+   from here on.
+3. Prefix entries of classes meet by shingle; those of hot cells are dealt out by salts. Two classes of a shingle are
+   a candidate pair if sizes allow the similarity (length filter), if the shingles around the common place allow the
+   overlap (positional filter), and if their signatures differ in no more bits than the sets may differ in shingles
+   (suffix filter: a bound on the differences of all that is left), first the short ones, then the strong ones.
+4. Groups of up to SMALL classes give all their candidates at once. Larger ones (and salted ones) give only each
+   class's nearest candidate or a spanning forest first; those pairs, and each class's nearest of small groups, are
+   verified and contracted. Then the pairs of small groups that still join two components follow, and all
+   candidates between different components of the larger groups, dealt out by the exact number of their members. So a
+   group of near copies yields about as many pairs as members, and no link between components is lost.
 5. Each pair is verified once on the full sets. Components of the links give each document's class id.
 
 Nulls: a null or empty text, or one without words, has an empty set, is linked with nothing and is its own
@@ -21,7 +24,7 @@ unless all its ids are null. Repeated rows are one class. An empty table gives n
 
 from __future__ import annotations
 
-import zlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +35,14 @@ from . import common
 from .common import U, discard, materialize
 from .components import components
 
-BITS = 20  # 2^BITS cells of shingle counts: one byte each goes to every worker
-BLOCKS = 64  # in which the cells are summed
-SPLIT = 512  # members of a frequent shingle that meet in one group
+LOAD = 32  # shingles a cell of the count table, on average, by which it is sized
+LEAST_BITS, MOST_BITS = 16, 24  # of the count table: one byte a cell goes to every worker, four while it counts
+HASHES = 1 << 21  # that are gathered before they are counted
+BLOCKS = 64  # at most, in which the cells are summed
+SPLIT = 512  # members of a frequent shingle that meet in one group of the first wave
+BLOCK = 8192  # and in the second, whose groups are dealt out in pairs of blocks
 TILE = 512  # rows that are compared with as many at once
-WHOLE = 1024  # rows of a group that are compared all with all to find its forest
+WHOLE = 1024  # rows of a larger group that are compared all with all to find their forest
 FAR = 1 << 14  # no distance of signatures
 SMALL = 32  # members of groups that are compared many groups at once
 PIECE = 1 << 18  # bytes of text that are hashed at once
@@ -56,41 +62,75 @@ def sets_of(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return h[keep], np.searchsorted(row[keep], np.arange(len(off)))
 
 
+def _bits(docs: DataFrame) -> int:
+    """Bits of the count table: some LOAD shingles a cell, taking six bytes of text for one."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(1 + total / 6 / LOAD))))
+
+
 def _cell_counts(docs: DataFrame, k: int, bits: int) -> np.ndarray:
     """Document frequencies by cell (hash modulo 2^bits), over all documents."""
-    per = (1 << bits) // BLOCKS
+    blocks = min(BLOCKS, max(1, (1 << bits) >> LEAST_BITS))
+    per = (1 << bits) // blocks
+
+    def packed(which, counts):
+        from zstandard import ZstdCompressor
+
+        z = ZstdCompressor(level=1)
+        return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array([z.compress(x.tobytes()) for x in counts], pa.binary())], names=["block", "cells"])
+
+    def unpacked(cells: bytes) -> np.ndarray:
+        from zstandard import ZstdDecompressor
+
+        return np.frombuffer(ZstdDecompressor().decompress(cells), "<u4")
 
     def count(batches):
-        total = np.zeros(1 << bits, np.int64)
+        total = np.zeros(1 << bits, np.uint32)
+        held: list[np.ndarray] = []
+
+        def add():
+            cell, times = np.unique(np.concatenate(held), return_counts=True)
+            total[cell] += times.astype(np.uint32)
+            held.clear()
+
         for _, buf, off in common.parts(batches, "text", PIECE):
-            h, _ = sets_of(buf, off, k)
-            total += np.bincount((h & U((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
-        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([zlib.compress(total[i * per : (i + 1) * per].astype("<i8").tobytes(), 1) for i in range(BLOCKS)], pa.binary())], names=["block", "cells"])
+            held.append((sets_of(buf, off, k)[0] & U((1 << bits) - 1)).astype(np.uint32))
+            if sum(map(len, held)) >= HASHES:
+                add()
+        if held:
+            add()
+        yield packed(range(blocks), [total[i * per : (i + 1) * per] for i in range(blocks)])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, cells in zip(batch["block"].to_pylist(), batch["cells"].to_pylist(), strict=True):
-                x = np.frombuffer(zlib.decompress(cells), "<i8")
-                sums[block] = sums[block] + x if block in sums else x
+                x = unpacked(cells)
+                sums[block] = np.minimum(sums[block].astype(np.uint64) + x, U(2**32 - 1)).astype(np.uint32) if block in sums else x
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=["block", "cells"])
+            yield packed(list(sums), sums.values())
 
     schema = "block int, cells binary"
-    parts = docs.select("text").mapInArrow(count, schema).repartition(BLOCKS, "block").mapInArrow(add, schema).collect()
-    out = np.zeros(1 << bits, np.int64)
+    parts = docs.select("text").mapInArrow(count, schema).repartition(blocks, "block").mapInArrow(add, schema).collect()
+    out = np.zeros(1 << bits, np.uint32)
     for r in parts:
-        out[r.block * per : (r.block + 1) * per] = np.frombuffer(zlib.decompress(r.cells), "<i8")
+        out[r.block * per : (r.block + 1) * per] = unpacked(r.cells)
     return out
 
 
-def _strong(h: np.ndarray, off: np.ndarray, bits: int = 1024) -> list[bytes]:
-    """As the signature, of more bits: for pairs that passed it."""
-    row = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    bit = ((h >> U(32)) & U(bits - 1)).astype(np.int64)
-    odd = np.bincount(row * bits + bit, minlength=(len(off) - 1) * bits).astype(np.uint8) & 1
-    packed = np.packbits(odd.reshape(-1, bits), axis=1)
-    return [x.tobytes() for x in packed]
+def _strong(h: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """As the signature, of about as many bits as the set has shingles: the next power of two, 256 at least.
+
+    One of 2m bits folds to that of m bits by xor of its halves, so those of sets of unlike sizes compare.
+    """
+    n = np.diff(off)
+    bits = 1 << np.maximum(8, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    row = np.repeat(np.arange(len(n)), n)
+    start = np.concatenate([[0], np.cumsum(bits)])
+    at = start[:-1][row] + ((h >> U(24)) & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(at, minlength=start[-1]) & 1).astype(np.uint8)
+    data = np.packbits(odd, bitorder="little").tobytes()
+    return [data[start[i] // 8 : start[i + 1] // 8] for i in range(len(n))]
 
 
 def _signature(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,13 +147,14 @@ def _signature(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _ROWS = "doc_id long, n long, c binary, prefix array<long>, salts array<int>, s1 long, s2 long, strong binary"
 
 
-def _describe(docs: DataFrame, k: int, percent: int, bits: int, split: int) -> DataFrame:
+def _describe(docs: DataFrame, k: int, percent: int, bits: int | None, split: int) -> DataFrame:
+    bits = _bits(docs) if bits is None else bits
     cells = _cell_counts(docs, k, bits)
-    mean = cells.mean()
-    order = np.minimum(255, np.round(8 * np.log2(1 + cells))).astype(np.uint8)
-    salts = np.maximum(1, np.ceil((cells - 2 * mean) / split)).astype(np.int32)
-    hot = np.flatnonzero(salts > 1).astype(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast((order, hot, salts[hot]))  # 1 to 13 bytes a cell
+    order = np.minimum(255, np.round(8 * np.log2(1 + cells.astype(np.float32)))).astype(np.uint8)
+    most = cells.mean() + 6 * math.sqrt(cells.mean())  # what many rare shingles may add up to
+    hot = np.flatnonzero(cells > most + split).astype(np.int64)
+    salts = np.ceil((cells[hot] - most) / split).astype(np.int32)
+    shared = docs.sparkSession.sparkContext.broadcast((order, hot, salts))  # 1 to 13 bytes a cell
 
     def run(batches):
         from xxhash import xxh3_128_digest
@@ -132,11 +173,14 @@ def _describe(docs: DataFrame, k: int, percent: int, bits: int, split: int) -> D
             if len(hot) and len(at):
                 place = np.minimum(np.searchsorted(hot, cell[at]), len(hot) - 1)
                 salt = np.where(hot[place] == cell[at], hot_salts[place], 1).astype(np.int32)
+            has = np.zeros(len(n), bool)  # rows without salted entries name no salts
+            has[np.repeat(np.arange(len(n)), size)[salt > 1]] = True
+            salt, salted = salt[np.repeat(has, size)], np.concatenate([[0], np.cumsum(np.where(has, size, 0))])
             s1, s2 = _signature(h, soff)
             digests = [xxh3_128_digest(h[soff[i] : soff[i + 1]].tobytes()) for i in range(len(n))]
             to = pa.array(poff, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [part["doc_id"], pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(to, pa.array(h[at].view(np.int64))), pa.ListArray.from_arrays(to, pa.array(salt)), pa.array(s1), pa.array(s2), pa.array(_strong(h, soff), pa.binary())],
+                [part["doc_id"], pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(to, pa.array(h[at].view(np.int64))), pa.ListArray.from_arrays(pa.array(salted, pa.int32()), pa.array(salt)), pa.array(s1), pa.array(s2), pa.array(_strong(h, soff), pa.binary())],
                 names=["doc_id", "n", "c", "prefix", "salts", "s1", "s2", "strong"],
             )
 
@@ -148,7 +192,7 @@ def _describe(docs: DataFrame, k: int, percent: int, bits: int, split: int) -> D
 
 def _met(batches):
     """Prefix entries whose shingle another class has in its prefix too; frequent ones may be in other salts."""
-    for table in _tables(batches, ("token", "salt")):
+    for table in _tables(batches, ("token", "salt"), pieces=True):
         size = np.bincount(table["group"])
         keep = (size[table["group"]] > 1) | (table["salts"] > 1)
         if keep.any():
@@ -191,15 +235,13 @@ def _tree(apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs[:, 0], pairs[:, 1]
 
 
-def _candidates(batches, keys: tuple, percent: int, trees: bool = False):
-    """(a, b, apart) arrays of the pairs that pass the filters within groups of equal keys.
-
-    With trees, groups of SMALL to WHOLE rows give only the edges of a least spanning forest, with apart -1.
+def _candidates(tables, percent: int, dealt: bool = False, trees: bool = False):
+    """(large, a, b, apart): arrays of the pairs that pass the filters within the groups of tables.
 
-    Small groups are compared all at once, row by row with the row k places on; larger ones in tiles. Where the keys hold
-    two salts, only rows of the one meet rows of the other.
+    With trees, groups of over SMALL rows (large) give only the edges of a least spanning forest of each WHOLE rows,
+    in order of size, and else the pairs of tiles. Small groups are compared all at once, row by row with the row k places on. Where groups are dealt,
+    rows of one salt meet only those of the other.
     """
-    dealt = "x" in keys
 
     def compare(a, b):
         ok, apart = _allowed(a, b, percent)
@@ -207,7 +249,7 @@ def _candidates(batches, keys: tuple, percent: int, trees: bool = False):
             ok &= (a["salt"] != b["salt"]) | (a["x"] == a["y"])
         return ok, apart
 
-    for table in _tables(batches, keys):
+    for table in tables:
         order = np.lexsort((table["n"], table["group"]))
         t = {k: v[order] for k, v in table.items()}
         edges = np.flatnonzero(np.concatenate([[True], t["group"][1:] != t["group"][:-1], [True]]))
@@ -222,13 +264,15 @@ def _candidates(batches, keys: tuple, percent: int, trees: bool = False):
             a, b = ({c: v[row + d] for c, v in t.items()} for d in (0, k))
             ok, apart = compare(a, b)
             if ok.any():
-                yield a["cid"][ok], b["cid"][ok], apart[ok]
+                yield False, a["cid"][ok], b["cid"][ok], apart[ok]
         for g in np.flatnonzero(size > SMALL):
             whole = {c: v[edges[g] : edges[g + 1]] for c, v in t.items()}
-            if trees and size[g] <= WHOLE:
-                ok, apart = compare({c: v[:, None] for c, v in whole.items()}, {c: v[None, :] for c, v in whole.items()})
-                i, j = _tree(np.where(ok, apart, FAR).astype(np.int16))
-                yield whole["cid"][i], whole["cid"][j], np.full(len(i), -1)
+            if trees:
+                for lo in range(0, size[g], WHOLE):
+                    some = {c: v[lo : lo + WHOLE] for c, v in whole.items()}
+                    ok, apart = compare({c: v[:, None] for c, v in some.items()}, {c: v[None, :] for c, v in some.items()})
+                    i, j = _tree(np.where(ok, apart, FAR).astype(np.int16))
+                    yield True, some["cid"][i], some["cid"][j], apart[i, j]
                 continue
             for i, j in _tiles(whole["n"], whole["n"], percent, True):
                 a, b = {c: v[i][:, None] for c, v in whole.items()}, {c: v[j][None, :] for c, v in whole.items()}
@@ -237,11 +281,14 @@ def _candidates(batches, keys: tuple, percent: int, trees: bool = False):
                     ok = np.triu(ok, 1)
                 r, c = np.nonzero(ok)
                 if len(r):
-                    yield whole["cid"][i][r], whole["cid"][j][c], apart[r, c]
+                    yield True, whole["cid"][i][r], whole["cid"][j][c], apart[r, c]
 
 
-def _tables(batches, keys: tuple, most: int = 50_000):
-    """Whole groups of sorted batches, many at a time, as numpy columns with a running number in "group"."""
+def _tables(batches, keys: tuple, most: int = 50_000, pieces: bool = False):
+    """Whole groups of sorted batches, many at a time, as numpy columns with a running number in "group".
+
+    With pieces, a group of over 8 * most rows comes in several, each of over SMALL rows.
+    """
     held: dict | None = None
     for batch in batches:
         if not batch.num_rows:
@@ -254,8 +301,8 @@ def _tables(batches, keys: tuple, most: int = 50_000):
         for k in keys:
             change[1:] |= held[k][1:] != held[k][:-1]
         last = np.flatnonzero(change)
-        if len(last):
-            cut = last[-1]
+        cut = last[-1] if len(last) else len(change) - SMALL - 1 if pieces and len(change) >= 8 * most else 0
+        if cut:
             done = {n: v[:cut] for n, v in held.items()}
             held = {n: v[cut:] for n, v in held.items()}
             yield done | {"group": np.cumsum(change[:cut])}
@@ -266,54 +313,77 @@ def _tables(batches, keys: tuple, most: int = 50_000):
         yield held | {"group": np.cumsum(change)}
 
 
-def _packed_pairs(a, b, apart) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(apart.astype(np.int64))], names=["a", "b", "apart"])
+_FOUND = "kind int, a long, b long, apart int, token long, n int, pos int, s1 long, s2 long"
+_SMALL_PAIR, _LARGE_PAIR, _ENTRY = 0, 1, 2  # kinds of rows
 
 
-def _nearest(percent: int):
-    """Each row's nearest candidate over the groups at hand, and the forests of larger groups: at most one pair a row."""
+def _unique(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs (a, b, apart) with a < b, each once."""
+    a, b, apart = (np.concatenate(x) for x in zip(*held, strict=True))
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a))
+    a, b, apart = a[order], b[order], apart[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new], apart[new]
 
-    def best(found):
-        a = np.concatenate([x for f in found for x in (f[0], f[1])])
-        b = np.concatenate([x for f in found for x in (f[1], f[0])])
-        d = np.concatenate([x for f in found for x in (f[2], f[2])])
-        order = np.lexsort((b, d, a))
-        a, b, d = a[order], b[order], d[order]
-        first = np.concatenate([[True], a[1:] != a[:-1]])
-        return a[first], b[first], d[first]
+
+def _first_wave(percent: int, most: int = 200_000):
+    """All pairs of small groups, the forests of larger ones, and the latter's entries for the second wave."""
+    names = [c.split()[0] for c in _FOUND.split(", ")]
+    types = [{"int": pa.int32(), "long": pa.int64()}[c.split()[1]] for c in _FOUND.split(", ")]
+
+    def rows(kind: int, cols: dict) -> pa.RecordBatch:
+        many = len(cols["a"])
+        cols["kind"] = np.full(many, kind)
+        return pa.RecordBatch.from_arrays([pa.array(cols[c]).cast(t) if c in cols else pa.nulls(many, t) for c, t in zip(names, types, strict=True)], names=names)
 
     def run(batches):
-        found: list[tuple] = []
-        for f in _candidates(batches, ("token", "salt"), percent, trees=True):
-            if len(f[2]) and f[2][0] < 0:
-                yield _packed_pairs(np.minimum(f[0], f[1]), np.maximum(f[0], f[1]), f[2])
-                continue
-            found.append(f)
-            if sum(len(x[0]) for x in found) > 500_000:
-                found = [best(found)]
-                if len(found[0][0]) > 200_000:
-                    yield _packed_pairs(*found.pop())
-        if found:
-            yield _packed_pairs(*best(found))
+        held: dict[bool, list] = {False: [], True: []}
+        entries: list[pa.RecordBatch] = []
+
+        def pairs(large):
+            a, b, apart = _unique(held[large])
+            held[large] = []
+            return rows(_LARGE_PAIR if large else _SMALL_PAIR, {"a": a, "b": b, "apart": apart})
+
+        def tables():
+            for t in _tables(batches, ("token", "salt"), pieces=True):
+                size = np.bincount(t["group"])
+                left = (size[t["group"]] > SMALL) | (t["salts"] > 1)
+                if left.any():
+                    entries.append(rows(_ENTRY, {"a": t["cid"][left]} | {k: t[k][left] for k in ("token", "n", "pos", "s1", "s2")}))
+                yield t
+
+        for large, *found in _candidates(tables(), percent, trees=True):
+            yield from entries
+            entries.clear()
+            held[large].append(found)
+            if sum(len(x[0]) for x in held[large]) > most:
+                yield pairs(large)
+        yield from entries
+        for large in (False, True):
+            if held[large]:
+                yield pairs(large)
 
     return run
 
 
-def _across(percent: int):
+def _across(percent: int, most: int = 200_000):
     """All candidates of different components in a group: salt x against salt y, or within one."""
 
     def run(batches):
-        held: list[np.ndarray] = []
+        held: list[tuple] = []
 
         def pairs():
-            pair = np.unique(np.concatenate(held, axis=1), axis=1)
-            return _packed_pairs(pair[0], pair[1], np.zeros(pair.shape[1]))
+            a, b, _ = _unique(held)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        for a, b, _ in _candidates(batches, ("token", "x", "y"), percent):
-            held.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
-            if sum(x.shape[1] for x in held) > 200_000:
+        for _, *found in _candidates(_tables(batches, ("token", "x", "y")), percent, dealt=True):
+            held.append(found)
+            if sum(len(x[0]) for x in held) > most:
                 yield pairs()
-                held = []
         if held:
             yield pairs()
 
@@ -356,19 +426,29 @@ def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return materialize(packed.join(wanted.select("c", "cid"), "c").select("cid", "z"), "ngram-texts", "none")
 
 
+def _folded(sig: bytes, size: int) -> np.ndarray:
+    x = np.frombuffer(sig, np.uint64)
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 def _near_enough(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose strong signatures differ in no more bits than linked sets may in shingles."""
 
     def run(batches):
-        for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b[k].to_pylist()), np.uint64).reshape(b.num_rows, -1) for k in ("xs", "ys"))
-                n = b["xn"].to_numpy() + b["yn"].to_numpy()
-                most = n - 2 * ((percent * n + percent + 99) // (100 + percent))
-                yield b.select(["a", "b"]).filter(pa.array(np.bitwise_count(x ^ y).sum(1) <= most))
+        for batch in batches:
+            apart = []
+            for x, y in zip(batch["xs"].to_pylist(), batch["ys"].to_pylist(), strict=True):
+                size = min(len(x), len(y)) // 8
+                apart.append(int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum()))
+            n = batch["xn"].to_numpy() + batch["yn"].to_numpy()
+            apart = np.array(apart, np.int64)
+            ok = apart <= n - 2 * ((percent * n + percent + 99) // (100 + percent))
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], batch["kind"], pa.array(apart)], names=["a", "b", "kind", "apart"]).filter(pa.array(ok))
 
     side = lambda k, p: classes.select(F.col("cid").alias(k), F.col("strong").alias(f"{p}s"), F.col("n").alias(f"{p}n"))
-    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "kind").join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(run, "a long, b long, kind int, apart long")
 
 
 def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -414,7 +494,7 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, perce
 # ---------------------------------------------------------------- the join
 
 
-def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, bits: int = BITS, split: int = SPLIT) -> DataFrame:
+def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, bits: int | None = None, split: int = SPLIT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, class_size, n_links_used and component_id of each row of docs(doc_id, text, ...).
 
     class_size counts the rows with the row's set; n_links_used those verified links of its class that the search needed
@@ -422,7 +502,7 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, bits: int
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with common.small_batches(docs.sparkSession):
-        rows, classes, links, roots = _search(docs, k, percent, bits, split)
+        rows, classes, links, roots = _search(docs, k, percent, bits, split, block)
     degree = links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").count()
     known = classes.select("c", "cid", "doc_id", "size").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -431,42 +511,53 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, bits: int
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("size", F.lit(1)).alias("class_size"), F.coalesce("count", F.lit(0)).alias("n_links_used"))
 
 
-def _search(docs: DataFrame, k: int, percent: int, bits: int, split: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """The described rows, their classes, the links that tell the components, and each linked class's root."""
+def _search(docs: DataFrame, k: int, percent: int, bits: int | None, split: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The rows with their sets' sizes and digests, the classes, the links that tell the components, and each linked class's root."""
     rows = materialize(_describe(docs, k, percent, bits, split), "ngram-rows")
-    grouped = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("salts").alias("salts"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("strong").alias("strong"))
-    classes = materialize(grouped.withColumn("cid", F.monotonically_increasing_id()), "ngram-classes")
-    entries = classes.select("cid", "n", F.posexplode(F.arrays_zip("prefix", "salts")).alias("pos", "e")).select(
+    firsts = [F.first(c).alias(c) for c in ("n", "prefix", "salts", "s1", "s2", "strong")]
+    grouped = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("size"), *firsts)
+    full = materialize(grouped.withColumn("cid", F.monotonically_increasing_id()), "ngram-classes")
+    slim = materialize(rows.select("doc_id", "n", "c"), "ngram-sets")
+    discard(rows)
+    zipped = F.posexplode(F.when(F.size("salts") > 0, F.arrays_zip("prefix", "salts")).otherwise(F.transform("prefix", lambda t: F.struct(t.alias("prefix"), F.lit(1).alias("salts"))))).alias("pos", "e")
+    entries = full.select("cid", "n", zipped).select(
         F.col("e.prefix").alias("token"), F.pmod(F.xxhash64("cid", "e.prefix"), F.col("e.salts").cast("long")).cast("int").alias("salt"), F.col("e.salts").alias("salts"), "cid", F.col("n").cast("int").alias("n"), "pos")
-    met = entries.repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(_met, entries.schema)
-    met = materialize(met, "ngram-met")
-    signed = materialize(met.join(classes.select("cid", "s1", "s2"), "cid"), "ngram-signed")
+    met = materialize(_dealt(entries, "token", "salt").mapInArrow(_met, entries.schema), "ngram-met")
+    signed = materialize(met.join(full.select("cid", "s1", "s2"), "cid"), "ngram-signed")
     discard(met)
 
-    mates = signed.repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(_nearest(percent), "a long, b long, apart long")
-    mates = materialize(mates, "ngram-mates")
-    trees = mates.where("apart < 0").select("a", "b")
-    best = mates.where("apart >= 0").groupBy("a").agg(F.min(F.struct("apart", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).unionByName(trees).distinct()
-    first = materialize(best, "ngram-first")
-    discard(mates)
-    links = _verify(docs, classes, first, k, percent)
+    found = materialize(_dealt(signed, "token", "salt").mapInArrow(_first_wave(percent), _FOUND), "ngram-found")
+    discard(signed)
+    pairs = found.where(F.col("kind") != _ENTRY).groupBy("a", "b").agg(F.min("kind").alias("kind"))
+    near = materialize(_near_enough(full, pairs, percent), "ngram-near")
+    small = near.where(F.col("kind") == _SMALL_PAIR)
+    mates = small.select("a", "b", "apart").unionByName(small.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
+    best = mates.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b"))
+    first = materialize(best.unionByName(near.where(F.col("kind") == _LARGE_PAIR).select("a", "b")).distinct(), "ngram-first")
+    ids = materialize(full.select("cid", "c", "doc_id", "size"), "ngram-ids")
+    links = _verify(docs, ids, first, k, percent)
     roots = components(links, "ngram-first")
 
-    labelled = signed.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("label", F.coalesce("root", "cid")).drop("root")
+    label = lambda on: F.coalesce(F.col(f"{on}_root"), F.col(on))
+    root = lambda on: roots.select(F.col("node").alias(on), F.col("root").alias(f"{on}_root"))
+    open_ = small.select("a", "b").join(root("a"), "a", "left").join(root("b"), "b", "left").where(label("a") != label("b")).select("a", "b")
+    labelled = found.where(F.col("kind") == _ENTRY).select(F.col("a").alias("cid"), "token", "n", "pos", "s1", "s2").join(root("cid"), "cid", "left").withColumn("label", label("cid")).drop("cid_root")
     labelled = materialize(labelled, "ngram-labelled")
-    discard(signed, roots)
-    mixed = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    open_ = labelled.join(mixed, "token", "left_semi")
-    # salts meet in pairs: a row goes to each pair that holds its salt
-    other = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
-    dealt = open_.withColumn("o", other).withColumn("x", F.least("salt", "o")).withColumn("y", F.greatest("salt", "o")).drop("o")
-    across = dealt.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(_across(percent), "a long, b long, apart long")
-    met = materialize(across.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "ngram-across")
-    second = materialize(_near_enough(classes, met, percent), "ngram-second")
-    discard(labelled, first, met)
-    links = links.unionByName(_verify(docs, classes, second, k, percent))
+    mixed = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi").select("token", F.ceil(F.col("members") / F.lit(block)).cast("int").alias("salts"))
+    # the blocks of a token meet in pairs: a row goes to each pair that holds its block
+    salted = labelled.join(mixed, "token").withColumn("salt", F.pmod(F.xxhash64("cid", "token"), F.col("salts").cast("long")).cast("int"))
+    dealt = salted.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("x", F.least("salt", "o")).withColumn("y", F.greatest("salt", "o")).drop("o", "salts")
+    across = materialize(_dealt(dealt, "token", "x", "y").mapInArrow(_across(percent), "a long, b long"), "ngram-across")
+    more = across.distinct().join(near.select("a", "b"), ["a", "b"], "left_anti").withColumn("kind", F.lit(_LARGE_PAIR))
+    second = materialize(open_.unionByName(_near_enough(full, more, percent).select("a", "b")).join(first, ["a", "b"], "left_anti"), "ngram-second")
+    discard(labelled, roots, found, near, across, first, full)
+    links = links.unionByName(_verify(docs, ids, second, k, percent))
     discard(second)
-    return rows, classes, links, components(links, "ngram-all")
+    return slim, ids, links, components(links, "ngram-all")
+
+
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "n")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
