@@ -59,6 +59,10 @@ def test_odd_rows(spark):
     want = water_fill(sizes)
     assert all(r.target == pytest.approx(want[r.source]) for r in got)
     assert mix_sources(docs.limit(0)).count() == 0
+    clash = docs.selectExpr("*", "1 as copies", "2 as row_hash", "3 as _size", "4 as h", "5 as k", "6 as m", "7 as n", "8 as `row`")
+    mixed = mix_sources(clash)
+    repeated = repeat_documents(clash, mixed)
+    assert repeated.columns == clash.columns and repeated.count() == sum(r.copies for r in mixed.collect())
     mixed = mix_sources(docs)
     assert repeat_documents(docs, mixed).count() == sum(r.copies for r in mixed.collect())
 
@@ -74,3 +78,11 @@ def test_meeting_keeps_mass_and_means():
         assert a * x + b * y == pytest.approx(a * p + b * q) and -1e-9 <= min(x, y) and max(x, y) <= 1 + 1e-9
     mean = sum(_meet(0.3, 2, 0.6, 5, r.random())[0] for _ in range(20000)) / 20000
     assert mean == pytest.approx(0.3, abs=0.02)
+
+
+def test_rows_of_one_id_and_size_are_told_apart(spark):
+    """The same mix of texts, however the table is partitioned."""
+    rows = [(i % 3, f"text {i} {'x' if i % 2 else 'y'}", f"s{i % 2}") for i in range(60)] + [(1, "text 1 x", "s1")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixes = {tuple(sorted(map(tuple, repeat_documents(d, mix_sources(d)).collect()))) for d in (docs, docs.repartition(5), docs.coalesce(1))}
+    assert len(mixes) == 1 and len(next(iter(mixes))) > 60

@@ -13,7 +13,9 @@ of doc_id, so that a source with a third of all rows spreads evenly; then rows s
 level. All random draws come from hashes of (seed, group, level), so reruns and retried tasks agree.
 
 Nulls: a null source is a source of its own, last in order; a null text has size 0, and documents of size 0
-take p like others but never words. Repeated rows are rounded each for itself. An empty table gives no rows.
+take p like others but never words. Rows are told apart by a hash of all their columns, so the same table gives the
+same mix however it is partitioned; rows equal in every column are rounded each for itself and are interchangeable.
+An empty table gives no rows. Columns of any other name are carried along.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
 
-_STATE = "doc_id long, source string, src int, size long, source_size long, target double, whole int, u long, bucket long, p double, level int"
+_STATE = "doc_id long, row_hash long, source string, src int, size long, source_size long, target double, whole int, u long, bucket long, p double, level int"
 
 
 def text_size(column: str = "text"):
@@ -160,8 +162,8 @@ def _level(seed: int, fan_in: int, last: bool):
 
 
 def mix_sources(docs: DataFrame, seed: int = 20240607, weights=WEIGHTS, share: float = SHARE, most: float = MOST, group: int = GROUP, fan_in: int = FAN_IN) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken (copies * size) of each row of docs(doc_id, text, source)."""
-    sized = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text_size().alias("size")), "mix-sizes")
+    """doc_id, row_hash, source, size, source_size, target, copies and taken (copies * size) of each row of docs(doc_id, text, source, ...)."""
+    sized = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash(docs).alias("row_hash"), F.col("source").cast("string").alias("source"), text_size().alias("size")), "mix-sizes")
     n = sized.count()
     targets = materialize(source_targets(sized, weights, share, most), "mix-targets")
     buckets = max(1, -(-n // group))
@@ -171,15 +173,15 @@ def mix_sources(docs: DataFrame, seed: int = 20240607, weights=WEIGHTS, share: f
         .drop(targets.source)
         .withColumn("whole", F.floor(ratio).cast("int"))
         .withColumn("p", ratio - F.floor(ratio))
-        .withColumn("u", F.xxhash64("doc_id", "size", F.lit(seed)))
+        .withColumn("u", F.xxhash64("doc_id", "row_hash", "size", F.lit(seed)))
         .withColumn("bucket", F.pmod(F.col("u"), F.lit(buckets)))
         .withColumn("level", F.lit(0))
-        .select("doc_id", "source", "src", "size", "source_size", "target", "whole", "u", "bucket", "p", "level")
+        .select("doc_id", "row_hash", "source", "src", "size", "source_size", "target", "whole", "u", "bucket", "p", "level")
     )
     decided, fraction, height = [], state, 0
     while True:
         last = buckets == 1
-        around = fraction.repartition("bucket").sortWithinPartitions("bucket", "src", "u", "doc_id", "size")
+        around = fraction.repartition("bucket").sortWithinPartitions("bucket", "src", "u", "doc_id", "row_hash", "size")
         rounded = materialize(around.mapInArrow(_level(seed, fan_in, last), _STATE), f"mix-level{height}")
         open_ = (F.col("p") > 0) & (F.col("p") < 1) & (F.col("level") > height)
         decided.append(rounded.where(~open_))
@@ -191,16 +193,31 @@ def mix_sources(docs: DataFrame, seed: int = 20240607, weights=WEIGHTS, share: f
     for more in decided[1:]:
         out = out.unionByName(more)
     copies = F.col("whole") + F.col("p").cast("int")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return out.select("doc_id", "row_hash", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+
+
+def row_hash(docs: DataFrame):
+    """64 bits of all columns that have a hash (maps have none)."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
 
 
 def repeat_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mix itself: each row of docs as many times as its copies say. Rows of one doc_id and size share copies in any order."""
-    keyed = docs.withColumn("_size", text_size())
-    order = Window.partitionBy("doc_id", "_size").orderBy(F.col("source").isNull(), "source")
-    counts = mixed.select("doc_id", F.col("size").alias("_size"), "source", "copies")
-    left = keyed.withColumn("_nth", F.row_number().over(order))
-    right = counts.withColumn("_nth", F.row_number().over(order))
-    on = left.doc_id.eqNullSafe(right.doc_id) & (left._size == right._size) & (left._nth == right._nth)
-    joined = left.join(right, on).select(*[left[c] for c in docs.columns], right.copies)
-    return joined.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_copy", "copies")
+    """The mix itself: each row of docs as many times as its copies say, in docs' columns.
+
+    Copies are found without the texts, which are moved once, to meet them. Rows equal in all columns share theirs: one of
+    them is repeated as often as all are taken.
+    """
+    copies = materialize(mixed.groupBy(F.col("doc_id").alias("k"), F.col("row_hash").alias("h")).agg(F.sum("copies").alias("m"), F.count(F.lit(1)).alias("n")), "mix-copies")
+    # the row is one column, so that its names can't clash with those here
+    rows = docs.select(F.col("doc_id").cast("long").alias("k"), row_hash(docs).alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    same = lambda a, b: a.k.eqNullSafe(b.k) & (a.h == b.h)
+
+    def taken(rows, copies):
+        return rows.join(copies, same(rows, copies)).select("row", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).alias("i")).select("row.*")
+
+    found = taken(rows, copies.where("n = 1 and m > 0"))
+    several = copies.where("n > 1 and m > 0")
+    if several.limit(1).count():
+        once = rows.join(several, same(rows, several), "left_semi").groupBy("k", "h").agg(F.first("row").alias("row"))
+        found = found.unionByName(taken(once, several))
+    return found
