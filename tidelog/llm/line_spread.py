@@ -61,7 +61,7 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -
     return materialize(sure.unionByName(exact), "boilerplate")
 
 
-def _cut_by_map(docs: DataFrame, hashes: DataFrame) -> DataFrame:
+def _cut_by_map(docs: DataFrame, hashes: DataFrame, counted: bool) -> DataFrame:
     gone = np.sort(np.array([r.h for r in hashes.collect()], np.int64))
     shared = docs.sparkSession.sparkContext.broadcast(gone)
 
@@ -84,32 +84,37 @@ def _cut_by_map(docs: DataFrame, hashes: DataFrame) -> DataFrame:
                     texts[i] = "\n".join(kept)
             columns = list(batch.columns)
             columns[at] = pa.array(texts, batch.schema.field(at).type)
+            if not counted:
+                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+                continue
             n, k = (pa.array(c, pa.int64()) for c in (zip(*counts, strict=True) if counts else ([], [])))
             yield pa.RecordBatch.from_arrays([*columns, n, k], names=[*batch.schema.names, "_n_lines", "_n_removed"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, _n_lines long, _n_removed long")
-
-
-def _cut_by_join(docs: DataFrame, hashes: DataFrame) -> DataFrame:
-    """Rows of one doc_id and text are cut alike, so those two (the text by its hashes) are the key."""
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).withColumn("_t", F.sha2(F.coalesce("text", F.lit("")), 256))
-    lines = _lines(keyed, "_id", "_t")
-    gone = lines.join(hashes, "h").groupBy("_id", "_t").agg(F.collect_set("pos").alias("_gone"))
-    parts = F.split("text", "\n", -1)
-    joined = keyed.join(gone, ["_id", "_t"], "left")
-    kept = F.filter(parts, lambda _, i: ~F.array_contains(F.col("_gone"), i))
-    return joined.select(
-        *[F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("_n_lines"),
-        F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).cast("long").alias("_n_removed"),
-    )
-
-
-def cut_lines(docs: DataFrame, min_sites: int = MIN_SITES, map_hashes: int = MAP_HASHES) -> DataFrame:
-    """docs with boilerplate lines cut from text, and _n_lines and _n_removed behind the other columns."""
+    return docs.mapInArrow(run, f"{fields}, _n_lines long, _n_removed long" if counted else fields)
+
+
+def _cut_by_join(docs: DataFrame, hashes: DataFrame, counted: bool) -> DataFrame:
+    """Rows of one doc_id and text are cut alike, so those two (the text by its hash) are the key."""
+    keys = [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("_t")]
+    gone = _lines(docs.select(*keys, "text", "source"), "_id", "_t").join(hashes, "h").groupBy("_id", "_t").agg(F.collect_set("pos").alias("gone"))
+    # the row is one column, so that its names can't clash with those here
+    joined = docs.select(*keys, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(gone, ["_id", "_t"], "left")
+    text = F.col("row")["text"]
+    parts = F.split(text, "\n", -1)
+    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    counts = [F.when(text.isNull(), 0).otherwise(F.size(parts)).cast("long").alias("_n_lines"), F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long").alias("_n_removed")]
+    return joined.select(*[F.when(F.col("gone").isNull(), text).otherwise(kept).alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns], *(counts if counted else []))
+
+
+def cut_lines(docs: DataFrame, min_sites: int = MIN_SITES, map_hashes: int = MAP_HASHES, counted: bool = True) -> DataFrame:
+    """docs with boilerplate lines cut from text and, if counted, _n_lines and _n_removed behind the other columns.
+
+    Where docs has columns of those two names, they give way to the counts; not counted, all columns stay.
+    """
     hashes = boilerplate(docs.select("source", "text"), min_sites)
-    return (_cut_by_map if hashes.count() <= map_hashes else _cut_by_join)(docs, hashes)
+    docs = docs.drop("_n_lines", "_n_removed") if counted else docs
+    return (_cut_by_map if hashes.count() <= map_hashes else _cut_by_join)(docs, hashes, counted)
 
 
 def digest(cut: DataFrame) -> DataFrame:
