@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import zstandard
@@ -33,3 +34,25 @@ def test_odd_rows(spark):
     assert keep_good(docs, model).count() == 4
     assert score(docs.limit(0), model).count() == 0
     assert docs.where("doc_id is null").select(held_out().alias("h")).first().h is False
+
+
+def test_scores_are_calibrated_and_whole_texts_teach(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = score(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), train(docs, labels)).where("held_out").collect()
+    quality = {r.doc_id: r.quality for r in labels.collect()}
+    pairs = [(r.score, quality[r.doc_id]) for r in rows]
+    base = sum(q for _, q in pairs) / len(pairs)
+    assert abs(sum(s for s, _ in pairs) / len(pairs) - base) < 0.03
+    bins = [[p for p in pairs if lo / 5 <= p[0] < lo / 5 + 0.2 + 1e-9] for lo in range(5)]
+    error = sum(abs(sum(s - q for s, q in b)) for b in bins) / len(pairs)
+    assert error < 0.05
+
+    # what tells the classes apart stands at the ends of long texts only
+    r = random.Random(4)
+    vocabulary = [["".join(r.choice("abcdefghijklmnopqrst") for _ in range(8)) for _ in range(300)] for _ in range(2)]
+    texts = [(i, "filler of both kinds " * 1100 + " ".join(r.choice(vocabulary[i % 2]) for _ in range(700))) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    got = score(docs, train(docs, labels)).where("held_out").collect()
+    assert len(got) > 5 and all(r.predicted == r.doc_id % 2 for r in got)

@@ -36,6 +36,11 @@ def test_both_ways_on_odd_rows(spark, most):
     key = lambda r: tuple((x is None, x) for x in r)
     assert sorted((tuple(r)[:3] for r in got.collect()), key=key) == sorted(brute(rows, 10), key=key)
     assert cut_lines(docs.limit(0), 10, map_hashes=most).count() == 0
+    clash = docs.selectExpr("*", "1L as _n_lines", "'x' as _id", "2 as _t", "3 as gone", "4 as `row`")
+    plain = cut_lines(clash, 10, map_hashes=most, counted=False)
+    assert plain.columns == clash.columns and {r._n_lines for r in plain.collect()} == {1}
+    assert sorted((tuple(r)[:3] for r in plain.collect()), key=key) == sorted(brute(rows, 10), key=key)
+    assert {r._n_lines for r in cut_lines(clash, 10, map_hashes=most).collect()} != {1}
 
 
 @pytest.mark.parametrize(("sites", "least"), [(2, 3), (5, 3), (9, 5), (18, 9), (20, 10), (40, 10)])
