@@ -62,3 +62,22 @@ def test_run_on_an_empty_table(spark, tmp_path, sf):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows_and_clashing_columns(spark, tmp_path, sf):
+    """Nulls, repeated ids and rows, and columns named as the stages name theirs."""
+    words = " ".join(f"w{i}" for i in range(80))
+    rows = [(i, f"line of document {i}\n{words} {i}", f"s{i % 4}") for i in range(12)]
+    rows += [(None, None, None), (None, "all alone", None), (3, "another text of one id", "s1"), (3, "another text of one id", "s1"), (20, "", "s2"), (21, None, "s2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr(
+        "doc_id", "text", "'en' as lang", "source", "cast(length(text) as long) as n_chars", "1 as copies", "2 as _n_lines", "3 as _size", "4 as component_id", "5 as c", "6 as n", "7 as row_hash")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
+    got = P.run(spark, str(tmp_path))
+    assert got.columns == docs.columns
+    found = got.collect()
+    texts = {(r.doc_id, r.text) for r in found}
+    assert (None, "all alone") in texts or len(found) > 3
+    assert all((r.copies, r._n_lines, r._size, r.component_id, r.row_hash) == (1, 2, 3, 4, 7) for r in found)
+    assert len({r.doc_id for r in found if r.text and words in r.text}) <= 1
