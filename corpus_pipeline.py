@@ -1,7 +1,7 @@
 """A corpus pipeline over documents: quality, lines, near copies, benchmark passages, source weights.
 
 Each stage takes (spark, docs, sf_dir) and returns documents again, in the same columns; ``run`` writes what a stage
-returns as Parquet in the shared folder and reads it as the next one's docs. Null texts pass as empty ones do in
+returns as Parquet in the shared folder, reads it as the next one's docs and deletes it once that one has written its own. Null texts pass as empty ones do in
 every operator: they score as empty, have no lines, no near copies, no passages, and size 0 in the mix.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import compression_quality, decontamination, line_spread, mixing, ngram_join
-from tidelog.llm.common import materialize, read_table
+from tidelog.llm.common import discard, materialize, read_table
 
 
 def _recount(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand on many sites, for the number of sites there are, are cut from the texts."""
-    return _recount(line_spread.cut_lines(docs, line_spread.least_sites(docs)), docs.columns)
+    return _recount(line_spread.cut_lines(docs, line_spread.least_sites(docs), counted=False), docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
