@@ -120,9 +120,14 @@ def range_request(start: Column, end: Column) -> Column:
     return request("range", F.concat(_sized(utf8(start)), _sized(utf8(end))))
 
 
+def joined(parts: Column) -> Column:
+    """The bytes of an array one after another, in one pass over them."""
+    return F.unhex(F.array_join(F.transform(parts, F.hex), ""))
+
+
 def _entries(pairs: Column) -> Column:
     """count and the sized keys and values of array<struct<key, value>>."""
-    return F.aggregate(pairs, int32(F.size(pairs)), lambda acc, p: F.concat(acc, _sized(utf8(p["key"])), _sized(p["value"])))
+    return F.concat(int32(F.size(pairs)), joined(F.transform(pairs, lambda p: F.concat(_sized(utf8(p["key"])), _sized(p["value"])))))
 
 
 def batch_request(pairs: Column) -> Column:
@@ -165,7 +170,7 @@ def decode_redirect(payload: Column) -> Column:
 
 
 def decode_entries(payload: Column) -> Column:
-    """array<struct<key, value>> of a range response's or batch request's payload."""
+    """array<struct<key, value>> of a range response's or batch request's payload, for few entries; frames.Entries gives rows."""
     start = F.struct(F.lit(4).alias("at"), F.array().cast("array<struct<key:string,value:binary>>").alias("out"))
 
     def step(acc, _):

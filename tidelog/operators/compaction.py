@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .segments import dead_bytes, file_name
+from .segments import dead_bytes, file_name, with_offsets
 from .views import keydir
 
 THRESHOLD = 0.5
@@ -23,14 +23,15 @@ def should_compact(segments: DataFrame, active: str, threshold: float = THRESHOL
 
 
 def compact(segments: DataFrame, active: str, into: int) -> DataFrame:
-    """The segments after compaction: live records of closed files in a new file, the active file as it is.
+    """The segments after compaction: live records of closed files in a new file, at their places there; the active file as it is.
 
     Rows keep their seq, which decides what is live: a merged file never outranks later records, whatever its name.
     Deletions in closed files go, as no closed record of their key stays; a deletion in the active file stays.
     """
-    live = keydir(segments).select("file_id", "offset")
+    last = segments.groupBy("key").agg(F.max_by(F.struct("seq", "op"), "seq").alias("r"))
+    live = last.where("r.op <> 'delete'").select("r.seq")
     closed = segments.where(F.col("file_id") != active)
-    kept = closed.join(live, ["file_id", "offset"], "left_semi").withColumn("file_id", file_name(F.lit(into)))
+    kept = with_offsets(closed.join(live, "seq", "left_semi").drop("offset").withColumn("file_id", file_name(F.lit(into))))
     return kept.select(segments.columns).unionByName(segments.where(F.col("file_id") == active))
 
 

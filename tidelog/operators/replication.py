@@ -45,6 +45,32 @@ def commit_index(leaders: DataFrame, matches: DataFrame, entries: DataFrame) ->
     return at.select("node", F.when(moved, F.col("held")).otherwise(F.col("commit_idx")).alias("commit_idx"))
 
 
+def submit(entries: DataFrame, writes: DataFrame, term: int, leads: bool) -> DataFrame:
+    """The leader's log with writes(pos, op, key, value) behind it in order of pos; any other node's log as it is.
+
+    pos counts from 0 without gaps.
+    """
+    if not leads:
+        return entries
+    last = log_end(entries).select("last_idx")  # one row
+    new = writes.join(F.broadcast(last)).select(F.lit(term).cast("long").alias("term"), (F.col("last_idx") + 1 + F.col("pos")).alias("idx"), "op", "key", "value")
+    return entries.unionByName(new)
+
+
+def common_prefix(left: DataFrame, right: DataFrame) -> DataFrame:
+    """One row: the last index up to which two logs (idx, term) agree, where a leader's back-off ends; 0 if nowhere."""
+    theirs = right.select("idx", F.col("term").alias("their_term"))
+    both = left.select("idx", "term").join(theirs, "idx", "full")
+    differs = F.min(F.when(~F.col("term").eqNullSafe(F.col("their_term")), F.col("idx")))
+    return both.agg(F.coalesce(differs - 1, F.max("idx"), F.lit(0)).alias("match_idx"))
+
+
+def probe_result(probes: DataFrame) -> DataFrame:
+    """probes(cluster, ok) with the exit code of each cluster: 0 for exactly one node that accepts, 1 for none, 2 for several."""
+    n = F.sum(F.col("ok").cast("int"))
+    return probes.groupBy("cluster").agg(F.when(n == 1, 0).when(F.coalesce(n, F.lit(0)) == 0, 1).otherwise(2).alias("code"))
+
+
 def vote_decision(requests: DataFrame) -> DataFrame:
     """requests(req, term, candidate, last_idx, last_term, my_term, voted_for, my_last_idx, my_last_term) with granted and new_term."""
     higher = F.col("term") > F.col("my_term")

@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import carried
+
+
+WRITES = ("put", "batch", "delete")
+
+
+def _as_of(asked: DataFrame, requests: DataFrame) -> DataFrame:
+    """asked(seq, key) with w, the (op, value) of the last write of key before seq; null without one."""
+    writes = requests.where(F.col("op").isin(*WRITES)).select("seq", "key", F.struct("op", "value").alias("_w"))
+    rows = writes.unionByName(asked.select("seq", "key", F.lit(None).cast(writes.schema["_w"].dataType).alias("_w")))
+    # writes and reads never share a position, so those without a value are the ones asked
+    return carried(rows, ["key"], F.col("seq"), F.col("_w"), "w").where("_w is null").select("seq", "key", "w")
+
 
 def answer_gets(requests: DataFrame) -> DataFrame:
     """(seq, key, status, value) of each get: the last write before it decides. requests(seq, op, key, end_key, value).
 
-    A window over each key's requests; requests of other kinds don't enter it.
+    A key's requests are worked in blocks of positions, so a hot key is dealt out; requests of other kinds don't enter.
     """
-    before = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    write = F.when(F.col("op").isin("put", "batch", "delete"), F.struct("op", "value"))
-    last = F.last(write, ignorenulls=True).over(before)
-    rows = requests.where(F.col("op").isin("get", "put", "batch", "delete")).withColumn("w", last).where("op = 'get'")
+    rows = _as_of(requests.where("op = 'get'").select("seq", "key"), requests)
     hit = F.col("w").isNotNull() & (F.col("w.op") != "delete")
     return rows.select("seq", "key", F.when(hit, "ok").otherwise("not_found").alias("status"), F.when(hit, F.col("w.value")).alias("value"))
 
@@ -22,19 +32,28 @@ def answer_gets(requests: DataFrame) -> DataFrame:
 def answer_ranges(requests: DataFrame, width: int = 4) -> DataFrame:
     """(seq, key, value) of each range's rows; reversed bounds give none here and "error" in answer_status.
 
-    Ranges and writes meet by key prefixes of width characters where a range stays in one prefix, and by
-    comparison only for the ranges that don't.
+    A range becomes gets of the distinct keys inside its bounds, whatever the number of their versions, and those are
+    answered as gets are. Ranges and keys meet by key prefixes of width characters; a range over several prefixes takes
+    part once for each of those that keys have, which are few beside the keys.
+    """
+    valid = requests.where((F.col("op") == "range") & (F.col("key") <= F.col("end_key"))).select("seq", F.col("key").alias("lo"), F.col("end_key").alias("hi"))
+    keys = requests.where(F.col("op").isin(*WRITES)).select("key").distinct().withColumn("pre", F.substring("key", 1, width))
+    first, last = F.substring("lo", 1, width), F.substring("hi", 1, width)
+    near = valid.where(first == last).withColumn("pre", first)
+    wide = valid.where(first != last).join(keys.select("pre").distinct(), F.col("pre").between(first, last))
+    asked = near.unionByName(wide).join(keys, "pre").where(F.col("key").between(F.col("lo"), F.col("hi"))).select("seq", "key")
+    return _as_of(asked, requests).where("w.op <> 'delete'").select("seq", "key", "w.value")
+
+
+def batch_entries(requests: DataFrame) -> DataFrame:
+    """The puts of batch requests(seq, keys, values): one row an entry with its place n; the last of a repeated key wins.
+
+    Lists of different lengths are refused whole, as one "error" row with no key.
     """
-    valid = requests.where((F.col("op") == "range") & (F.col("key") <= F.col("end_key"))).select(F.col("seq").alias("at"), F.col("key").alias("lo"), F.col("end_key").alias("hi"))
-    writes = requests.where(F.col("op").isin("put", "batch", "delete")).select("seq", "key", "op", "value", F.substring("key", 1, width).alias("pre"))
-    same = F.substring("lo", 1, width) == F.substring("hi", 1, width)
-    inside = (F.col("key") >= F.col("lo")) & (F.col("key") <= F.col("hi")) & (F.col("seq") < F.col("at"))
-    near = valid.where(same & (F.length("lo") >= width)).withColumn("pre", F.substring("lo", 1, width)).join(writes, "pre").where(inside)
-    wide = valid.where(~(same & (F.length("lo") >= width))).join(writes, inside)
-    cols = ["at", "key", "seq", "op", "value"]
-    met = near.select(cols).unionByName(wide.select(cols))
-    last = met.groupBy("at", "key").agg(F.max_by(F.struct("op", "value"), "seq").alias("w"))
-    return last.where("w.op <> 'delete'").select(F.col("at").alias("seq"), "key", "w.value")
+    even = F.coalesce(F.size("keys") == F.size("values"), F.lit(False))
+    entries = F.when(even, F.arrays_zip(F.col("keys").alias("key"), F.col("values").alias("value")))
+    rows = requests.select("seq", even.alias("ok"), F.posexplode_outer(entries).alias("n", "e")).where("n is not null or not ok")
+    return rows.select("seq", "n", F.col("e.key").alias("key"), F.col("e.value").alias("value"), F.when(F.col("ok"), "ok").otherwise("error").alias("status"))
 
 
 def answer_status(requests: DataFrame) -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import MAX_FILE_SIZE
+from .ordered import carried, running_sum
 from .views import sized
 
 
@@ -16,9 +17,8 @@ def file_name(n):
 
 
 def with_offsets(rows: DataFrame) -> DataFrame:
-    """offset of each record in its file: the running size less its own."""
-    so_far = Window.partitionBy("file_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("offset", F.sum("record_size").over(so_far) - F.col("record_size"))
+    """offset of each record in its file: the running size less its own. A file may be larger than a task."""
+    return running_sum(rows, ["file_id"], "seq", "record_size", "offset").withColumn("offset", F.col("offset") - F.col("record_size"))
 
 
 def rotate(log: DataFrame, max_file_size: int = MAX_FILE_SIZE, first: int = 1) -> DataFrame:
@@ -52,15 +52,15 @@ def dead_rows(segments: DataFrame) -> DataFrame:
 
     A batch doesn't count what it overwrites, and deletions themselves never count; superseded has the full truth.
     """
-    later = Window.partitionBy("key").orderBy("seq")
-    after = F.lead("op").over(later)
-    return segments.withColumn("next_op", after).withColumn("counted", (F.col("op") != "delete") & after.isin("put", "delete")).withColumn("superseded", after.isNotNull() | (F.col("op") == "delete"))
+    after = F.col("next_op")
+    rows = carried(segments, ["key"], -F.col("seq"), F.col("op"), "next_op")
+    return rows.withColumn("counted", (F.col("op") != "delete") & F.coalesce(after.isin("put", "delete"), F.lit(False))).withColumn("superseded", after.isNotNull() | (F.col("op") == "delete"))
 
 
 def dead_bytes(segments: DataFrame) -> DataFrame:
     """Per file: bytes counted dead, bytes superseded in truth, all bytes and records."""
     of = lambda c: F.coalesce(F.sum(F.when(F.col(c), F.col("record_size"))), F.lit(0))
-    return dead_rows(segments).groupBy("file_id").agg(of("counted").alias("dead_bytes"), of("superseded").alias("superseded_bytes"), F.sum("record_size").alias("file_bytes"), F.count(F.lit(1)).alias("records"))
+    return dead_rows(segments.select("file_id", "seq", "key", "op", "record_size")).groupBy("file_id").agg(of("counted").alias("dead_bytes"), of("superseded").alias("superseded_bytes"), F.sum("record_size").alias("file_bytes"), F.count(F.lit(1)).alias("records"))
 
 
 def files(segments: DataFrame) -> DataFrame:

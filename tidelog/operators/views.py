@@ -1,7 +1,8 @@
 """Live rows of a log, by the three resolutions that differ, and what is derived from them.
 
-All group by key with one max_by of a struct, so the shuffle carries one partial row a key and partition whatever
-the number of versions: hot keys collapse before it.
+The online and the hint view group by key with one max_by of a struct, so the shuffle carries one partial row a key and
+partition whatever the number of versions: hot keys collapse before it. The replay view does so twice: the last
+deletion of each key, without values, then the best put behind it.
 """
 
 from __future__ import annotations
@@ -27,10 +28,11 @@ def live_replay(log: DataFrame, order: str = "seq") -> DataFrame:
     """What replaying the files gives: a deletion always removes, a put replaces a live row unless its ts is lower.
 
     A deletion forgets all earlier timestamps, so the outcome is the put of greatest (ts, position) behind the key's
-    last deletion: two aggregates in one pass, without ordering a key's rows.
+    last deletion: two aggregates, without ordering a key's rows. The join between them carries keys and positions on one
+    side; adaptive execution broadcasts that side where it is small and splits hot keys where it isn't.
     """
-    dead = F.max(F.when(F.col("op") == "delete", F.col(order))).over(Window.partitionBy("key"))
-    puts = log.withColumn("_dead", dead).where((F.col("op") != "delete") & (F.col(order) > F.coalesce("_dead", F.lit(-1))))
+    dead = log.where("op = 'delete'").groupBy("key").agg(F.max(order).alias("_dead"))
+    puts = log.where("op <> 'delete'").join(dead, "key", "left").where(F.col(order) > F.coalesce("_dead", F.lit(-1)))
     best = F.max_by(F.struct("value", "ts", "seq"), F.struct("ts", order)).alias("r")
     return puts.groupBy("key").agg(best).select("key", "r.value", "r.ts", "r.seq")
 

@@ -394,6 +394,6 @@ def frame_parse(spark, sf_dir):
     key, value, end = F.col("key"), F.coalesce("value", F.lit(b"")), F.coalesce("end_key", F.lit(""))
     frame = F.when(F.col("op") == "put", codec.put_request(key, value)).when(F.col("op") == "get", codec.get_request(key)).when(F.col("op") == "delete", codec.delete_request(key)).otherwise(codec.range_request(key, end))
     rows = logs.requests(spark, sf_dir).select(F.floor(F.col("seq") / 20).alias("buffer"), F.struct("seq", frame.alias("b")).alias("f"))
-    buffers = rows.groupBy("buffer").agg(F.array_sort(F.collect_list("f"))["b"].alias("parts")).select(F.aggregate("parts", F.lit(b""), lambda a, b: F.concat(a, b)).alias("data"))
+    buffers = rows.groupBy("buffer").agg(F.array_sort(F.collect_list("f"))["b"].alias("parts")).select(codec.joined(F.col("parts")).alias("data"))
     parsed = buffers.lateralJoin(Frames(F.col("data").outer()))
     return parsed.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("payload")).alias("payload_bytes"))

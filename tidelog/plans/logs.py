@@ -18,22 +18,21 @@ def millis(c):
     return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c.cast("timestamp_ntz"))
 
 
-def plain_log(spark: SparkSession, sf_dir: str, skew: bool = False) -> DataFrame:
+def plain_log(spark: SparkSession, sf_dir: str, skew: bool = False, batches: bool = False) -> DataFrame:
     """One operation an event: errors delete, all else puts props under the user's key. skew sets timestamps back by turns."""
+    live = F.when(F.col("event_type") == "signup", "batch").otherwise("put") if batches else F.lit("put")
     ts = millis(F.col("ts"))
     if skew:
         ts = ts - (F.col("event_id") % 7) * 3_600_000
     dead = F.col("event_type") == "error"
     return events(spark, sf_dir).select(
         F.col("event_id").alias("seq"), F.concat(F.lit("user:"), F.lpad(F.col("user_id").cast("string"), 5, "0")).alias("key"),
-        F.when(~dead, F.encode("props", "UTF-8")).alias("value"), ts.alias("ts"), F.when(dead, "delete").otherwise("put").alias("op"))
+        F.when(~dead, F.encode("props", "UTF-8")).alias("value"), ts.alias("ts"), F.when(dead, "delete").otherwise(live).alias("op"))
 
 
 def mixed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As the plain log, with signups written by batches."""
-    kind = events(spark, sf_dir).select(F.col("event_id").alias("seq"), "event_type")
-    log = plain_log(spark, sf_dir).join(kind, "seq")
-    return log.withColumn("op", F.when(F.col("event_type") == "signup", "batch").otherwise(F.col("op"))).drop("event_type")
+    return plain_log(spark, sf_dir, batches=True)
 
 
 def segmented(spark: SparkSession, sf_dir: str, per_file: int = 1000) -> DataFrame:
