@@ -62,7 +62,9 @@ def test_rotation_is_greedy_and_compaction_keeps_the_live_rows(spark):
     once = compaction.compact(seg, active, file + 1)
     live = {r.key: r.seq for r in views.live_online(log).collect()}
     assert {r.key: r.seq for r in views.live_online(once).collect()} == live
-    twice = compaction.compact(segments.with_offsets(once.drop("offset")), active, file + 2)
+    places = [(r.file_id, r.offset) for r in once.collect()]
+    assert len(set(places)) == len(places)
+    twice = compaction.compact(once, active, file + 2)
     assert {r.key: r.seq for r in views.live_online(twice).collect()} == live
     assert once.where(F.col("file_id") != active).where("op = 'delete'").count() == 0
     # a key merged and then deleted later stays deleted
@@ -148,6 +150,7 @@ def test_store(spark, tmp_path):
     with pytest.raises(ValueError, match="needed"):
         s.put(None, b"")
     before = s.snapshot()
+    again = Store(spark, str(tmp_path / "s"))
     s.delete("b")
     assert [r.key for r in s.range("a", "c").collect()] == ["a", "c"] and s.size() == 3
     assert {r.key for r in before.collect()} == {"a", "b", "c", "empty"}
@@ -155,6 +158,9 @@ def test_store(spark, tmp_path):
     assert reopened.get("a") == b"2" and not reopened.exists("b")
     freed = reopened.compact()
     assert freed["gross"] > freed["net"] > 0
+    # readers opened before keep their files until a vacuum
+    assert {r.key for r in before.collect()} == {"a", "b", "c", "empty"} and again.get("b") == b"z"
+    assert reopened.vacuum() == 0 and reopened.vacuum(grace_sec=-1) >= 1
     assert {r.key: bytes(r.value) for r in Store(spark, str(tmp_path / "s")).live().collect()} == {"a": b"2", "c": b"y", "empty": b""}
     reopened.put("b", b"again")
     assert reopened.compact()["net"] == 0 and reopened.get("b") == b"again"
@@ -163,6 +169,68 @@ def test_store(spark, tmp_path):
         s.flush()
 
 
+def test_acknowledged_writes_survive_a_lost_writer(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"))
+    s.put("a", b"1")
+    s.batch_put(["b", "a"], [b"2", b"3"])
+    s.delete("b")
+    del s  # without flush or close
+    t = Store(spark, str(tmp_path / "s"))
+    assert (t.get("a"), t.get("b")) == (b"3", None) and t.log().count() == 4
+    assert not list((tmp_path / "s/pending").glob("*.json"))
+    t.put("c", b"")
+    u = Store(spark, str(tmp_path / "s"))
+    assert {r.key for r in u.live().collect()} == {"a", "c"}
+    assert u.should_compact() is False or u.maybe_compact()["gross"] > 0
+
+
+def test_recovered_store_and_positional_reads(spark, tmp_path):
+    rows = random_log(120, 9)
+    seg = segments.rotate(spark.createDataFrame(rows, RECORD), 300)
+    path = str(tmp_path / "raw")
+    raw.write_log(seg, path)
+    (tmp_path / "raw" / ".0000000001-leftover.data").write_bytes((tmp_path / "raw" / "0000000001.data").read_bytes())
+    assert raw.read_log(spark, path).count() == 120  # a leftover is no data
+    want = {k: (ts, v) for k, (_, ts, v) in sequential(rows)[1].items()}
+    store = Store.recovered(spark, str(tmp_path / "store"), path)
+    assert {r.key: (r.ts, bytes(r.value)) for r in store.live().collect()} == want
+    store.put("new", b"n")
+    assert store.get("new") == b"n" and store.size() == len(want) + 1
+    (tmp_path / "no-files").mkdir()
+    assert Store.recovered(spark, str(tmp_path / "none"), str(tmp_path / "no-files")).size() == 0
+    places = seg.select("file_id", "offset", "record_size", "seq")
+    got = raw.read_at(places, path).collect()
+    assert all(len(r.bytes) == r.record_size for r in got) and len(got) == 120
+    missing = spark.createDataFrame([("0000009999", 0, 5)], "file_id string, offset long, record_size long")
+    assert raw.read_at(missing, path).first().bytes is None
+    with pytest.raises(Exception, match="bytes at"):
+        raw.read_at(spark.createDataFrame([("0000000001", 100_000, 5)], missing.schema), path).collect()
+
+
+def test_damaged_sizes_ask_for_no_more_than_the_file_has(tmp_path):
+    import io
+    import struct
+
+    data = struct.pack(">Iqii", 0, 1, 5, (1 << 31) - 100) + b"key"
+    assert [x[6] for x in raw.walk_records(io.BytesIO(data), len(data))] == ["truncated"]
+
+
+def test_sums_and_values_carried_over_blocks(spark):
+    from tidelog.operators.ordered import carried, running_sum
+
+    r = random.Random(2)
+    rows = [(i, r.choice(["a", "b", None]), r.choice([None, f"v{i}"]), r.randrange(9)) for i in range(300)]
+    df = spark.createDataFrame(rows, "seq long, key string, v string, n long")
+    sums, last, want = {}, {}, {}
+    for seq, k, v, n in rows:
+        sums[k] = sums.get(k, 0) + n
+        want[seq] = (sums[k], last.get(k))
+        last[k] = v if v is not None else last.get(k)
+    for block in (7, 1000):
+        got = carried(running_sum(df, ["key"], "seq", "n", "s", block), ["key"], F.col("seq"), F.col("v"), "before", block).collect()
+        assert {x.seq: (x.s, x.before) for x in got} == want
+
+
 def test_streaming_index_and_sink(spark, tmp_path):
     rows = random_log(120, 7)
     for i in range(3):

@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codec
-from ..functions.frames import Frames
+from ..functions.frames import Entries, Frames
 from ..operators import compaction, reads, replication, segments, views, writes
 from ..operators import requests as requests_
+from ..sources import raw
+from ..sources.scratch import scratch_folder
+from ..store import Store
+from ..streaming import index as streaming
 from . import logs
 from .logs import SQL_MIXED, SQL_PLAIN, SQL_REQUESTS, SQL_SEGMENTS, SQL_SIZED, SQL_SKEWED
 
@@ -232,9 +236,185 @@ def compaction_stats(spark, sf_dir):
     return compaction.stats(logs.segmented(spark, sf_dir), "0000000010")
 
 
+def _twice_compacted(spark, sf_dir):
+    """Compacted once when file 5 was active, and again when file 10 is."""
+    log, first = logs.segmented(spark, sf_dir), "0000000005"
+    once = compaction.compact(log.where(F.col("file_id") <= first), first, 0)
+    return compaction.compact(once.unionByName(log.where(F.col("file_id") > first)), "0000000010", 11)
+
+
+_MERGED = f"""{SQL_SEGMENTS}, last AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM segments),
+  merged AS (SELECT '0000000011' AS file_id, seq, key, value, ts, op, record_size, CAST(sum(record_size) OVER (ORDER BY seq) - record_size AS BIGINT) AS "offset"
+    FROM last WHERE rn = 1 AND op <> 'delete' AND file_id <> '0000000010'),
+  compacted AS (SELECT * FROM merged UNION ALL SELECT file_id, seq, key, value, ts, op, record_size, "offset" FROM segments WHERE file_id = '0000000010')"""
+
+
+@_query(f'WITH {_MERGED} SELECT file_id, seq, key, op, record_size, "offset" FROM compacted')
+def second_compaction(spark, sf_dir):
+    """A second compaction over the first one's file gives what one alone would."""
+    return _twice_compacted(spark, sf_dir).select("file_id", "seq", "key", "op", "record_size", "offset")
+
+
+@_query(
+    f"""WITH {_MERGED} SELECT key, file_id, CAST(octet_length(encode(value)) AS INTEGER) AS value_size, "offset", record_size, ts FROM (
+    SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS n FROM compacted) WHERE n = 1 AND op <> 'delete'"""
+)
+def compacted_keydir(spark, sf_dir):
+    return views.keydir(_twice_compacted(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- raw files, recovery, the store
+
+
+def _late_segments(spark, sf_dir):
+    return logs.segmented(spark, sf_dir).withColumn("ts", F.col("ts") - (F.col("seq") % 7) * 3_600_000)
+
+
+_LATE = SQL_SEGMENTS.replace("epoch_us(ts) // 1000 AS ts", "epoch_us(ts) // 1000 - (event_id % 7) * 3600000 AS ts")
+_REPLAYED = f"""{_LATE}, gone AS (SELECT key, max(seq) AS seq FROM segments WHERE op = 'delete' GROUP BY key),
+  replayed AS (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY s.key ORDER BY ts DESC, s.seq DESC) AS rn
+    FROM segments s LEFT JOIN gone g ON g.key = s.key WHERE op <> 'delete' AND s.seq > coalesce(g.seq, -1)) WHERE rn = 1)"""
+
+
+@_query(
+    f"""WITH {SQL_SEGMENTS} SELECT file_id, "offset", CAST(record_size AS INTEGER) AS record_size, key, coalesce(value, '') AS value, ts, op = 'delete' AS tombstone FROM segments"""
+)
+def raw_round_trip(spark, sf_dir):
+    """Segments as raw files, walked again from their starts."""
+    folder = scratch_folder(spark, "raw")
+    raw.write_log(logs.segmented(spark, sf_dir), folder)
+    return _text(raw.read_log(spark, folder, strict="true").drop("corrupt_reason"))
+
+
+@_query(
+    f"""WITH {SQL_SEGMENTS} SELECT file_id, key, ts, CAST(octet_length(encode(value)) AS INTEGER) AS value_size, "offset" FROM (
+    SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM segments) WHERE rn = 1 AND op <> 'delete'"""
+)
+def raw_hints(spark, sf_dir):
+    """Index files of the live keys, read again."""
+    folder = scratch_folder(spark, "hints")
+    raw.write_hints(views.keydir(logs.segmented(spark, sf_dir)), folder)
+    return raw.read_hints(spark, folder)
+
+
+@_query(f"""WITH {_REPLAYED} SELECT key, ts, CAST(octet_length(encode(value)) AS INTEGER) AS value_size, "offset", file_id, record_size FROM replayed""")
+def recover_from_log(spark, sf_dir):
+    """The index after a crash, without index files: a replay, with clocks that run back by turns."""
+    folder = scratch_folder(spark, "raw")
+    raw.write_log(_late_segments(spark, sf_dir), folder)
+    return raw.recover(spark, folder)[0]
+
+
+@_query(
+    f"""WITH {_LATE} SELECT key, ts, value_size, "offset", file_id, CAST(20 + octet_length(encode(key)) + value_size AS BIGINT) AS record_size FROM (
+      SELECT *, CAST(octet_length(encode(value)) AS INTEGER) AS value_size, row_number() OVER (PARTITION BY key ORDER BY ts DESC, file_id DESC, "offset" DESC) AS rn
+      FROM segments WHERE op <> 'delete') WHERE rn = 1"""
+)
+def recover_from_hints(spark, sf_dir):
+    """The index after a crash, where every data file has an index file: those alone decide."""
+    folder, log = scratch_folder(spark, "raw"), _late_segments(spark, sf_dir)
+    raw.write_log(log, folder)
+    raw.write_hints(segments.index_rows(log), folder)
+    return raw.recover(spark, folder)[0]
+
+
+@_query(f"WITH {_REPLAYED} SELECT key, value, ts FROM replayed")
+def recovered_store(spark, sf_dir):
+    """A store opened on what the raw files give after a crash."""
+    folder = scratch_folder(spark, "raw")
+    raw.write_log(_late_segments(spark, sf_dir), folder)
+    return _text(Store.recovered(spark, scratch_folder(spark, "store"), folder).live().select("key", "value", "ts"))
+
+
+@_query(f"WITH {SQL_PLAIN}, {_LIVE}, {_KEYS} SELECT key, value, ts FROM live WHERE key IN (SELECT key FROM asked)")
+def positional_read(spark, sf_dir):
+    """Values of many keys, each read at its file and offset."""
+    folder, log = scratch_folder(spark, "raw"), logs.segmented(spark, sf_dir)
+    raw.write_log(log, folder)
+    places = views.keydir(log).join(_asked(spark, sf_dir), "key", "left_semi").select("file_id", "offset", "record_size")
+    return _text(raw.read_at(places, folder).select(codec.decode_record(F.col("bytes")).alias("r")).select("r.key", "r.value", "r.ts"))
+
+
+@_query(f"WITH {SQL_PLAIN}, {_LIVE} SELECT * FROM live")
+def store_compacted(spark, sf_dir):
+    """A store filled in two appends, compacted between and after them, and opened again."""
+    path, log = scratch_folder(spark, "store"), logs.plain_log(spark, sf_dir)
+    store = Store(spark, path)
+    half = logs.events(spark, sf_dir).agg(F.floor(F.max("event_id") / 2)).first()[0] or 0  # one row
+    store.append(log.where(F.col("seq") <= half))
+    store.compact()
+    store.append(log.where(F.col("seq") > half).withColumn("seq", F.col("seq") - half - 1))
+    store.compact()
+    return _text(Store(spark, path).live())
+
+
+@_query(
+    f"""WITH {SQL_SKEWED}, dead AS (SELECT key, max(seq) AS gone FROM log WHERE op = 'delete' GROUP BY key)
+    SELECT key, value, ts, seq FROM (
+      SELECT log.*, row_number() OVER (PARTITION BY log.key ORDER BY ts DESC, seq DESC) AS rn
+      FROM log LEFT JOIN dead USING (key) WHERE op <> 'delete' AND seq > coalesce(gone, -1)) WHERE rn = 1"""
+)
+def stream_replay(spark, sf_dir):
+    """The replay view kept by a stream over segments that arrive in any order."""
+    folder = scratch_folder(spark, "stream")
+    log = logs.plain_log(spark, sf_dir, skew=True)
+    log.repartition(4, F.col("seq") % 16).write.parquet(f"{folder}/in")
+    sink = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/out/n={n}")
+    views_ = streaming.streaming_replay(streaming.read_segments(spark, f"{folder}/in", max_files=2))
+    views_.writeStream.foreachBatch(sink).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema("key string, value binary, ts long, seq long, batch long").parquet(f"{folder}/out")
+    last = out.groupBy("key").agg(F.max_by(F.struct("value", "ts", "seq"), "batch").alias("r")).where("r.seq is not null")
+    return _text(last.select("key", "r.value", "r.ts", "r.seq"))
+
+
 # ---------------------------------------------------------------- requests
 
 
+_ANSWERED = f"""{SQL_REQUESTS}, w AS (SELECT * FROM requests WHERE op IN ('put', 'delete')),
+    answered AS (SELECT r.seq, w.op = 'put' AS hit, w.value FROM (SELECT * FROM requests WHERE op = 'get') r ASOF LEFT JOIN w ON r.key = w.key AND r.seq > w.seq)"""
+
+
+@_query(f"WITH {_ANSWERED} SELECT seq, CASE WHEN coalesce(hit, false) THEN 0 ELSE 1 END AS status, CASE WHEN coalesce(hit, false) THEN value ELSE '' END AS payload FROM answered")
+def get_responses(spark, sf_dir):
+    """Answers to gets as response frames, taken apart again."""
+    rows = requests_.answer_gets(logs.requests(spark, sf_dir))
+    frame = F.when(F.col("status") == "ok", codec.response("ok", F.col("value"))).otherwise(codec.response("not_found", F.lit(b"")))
+    back = rows.select("seq", codec.decode_response(frame).alias("r"))
+    return back.select("seq", "r.status", F.col("r.payload").cast("string").alias("payload"))
+
+
+@_query(
+    f"""WITH {SQL_REQUESTS}, met AS (
+      SELECT r.seq, w.key, max_by(w.op, w.seq) AS op, max_by(w.value, w.seq) AS value
+      FROM requests r JOIN requests w ON r.op = 'range' AND w.op IN ('put', 'delete') AND w.key >= r.key AND w.key <= r.end_key AND w.seq < r.seq GROUP BY r.seq, w.key)
+    SELECT seq, CAST(row_number() OVER (PARTITION BY seq ORDER BY key) - 1 AS INTEGER) AS n, key, value FROM met WHERE op = 'put'"""
+)
+def range_responses(spark, sf_dir):
+    """Answers to ranges as one response frame each, its entries taken apart again."""
+    rows = requests_.answer_ranges(logs.requests(spark, sf_dir), width=8)
+    frames = rows.groupBy("seq").agg(F.collect_list(F.struct("key", "value")).alias("pairs")).select("seq", codec.decode_response(codec.range_response(F.col("pairs")))["payload"].alias("payload"))
+    return _text(frames.lateralJoin(Entries(F.col("payload").outer())).select("seq", "n", "key", "value"))
+
+
+@_query("""SELECT 'cust:' || CAST(o_custkey AS VARCHAR) AS key, max_by(o_orderpriority, (o_orderkey, o_orderpriority)) AS value FROM orders GROUP BY o_custkey""")
+def batch_frames(spark, sf_dir):
+    """Batches as request frames, taken apart, checked and applied entry by entry."""
+    pairs = F.arrays_zip(F.col("keys").alias("key"), F.col("values").alias("value"))
+    frames = logs.batches(spark, sf_dir).select("batch", codec.decode_response(codec.batch_request(pairs))["payload"].alias("payload"))
+    parsed = frames.lateralJoin(Entries(F.col("payload").outer())).groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("n", "key", "value"))).alias("e"))
+    entries = requests_.batch_entries(parsed.select(F.col("batch").alias("seq"), F.col("e.key").alias("keys"), F.col("e.value").alias("values"))).where("status = 'ok'")
+    log = entries.select((F.shiftleft(F.col("seq").cast("long"), 32) + F.col("n")).alias("seq"), "key", "value", F.lit(0).cast("long").alias("ts"), F.lit("batch").alias("op"))
+    return _text(views.live_online(log).select("key", "value"))
+
+
+@_query(f"WITH {SQL_REQUESTS} SELECT seq, CASE WHEN seq % 3 = 0 THEN 'error' ELSE 'ok' END AS status FROM requests WHERE op = 'range'")
+def reversed_ranges(spark, sf_dir):
+    """Every third request's bounds are the wrong way round: an error, not an empty answer."""
+    turn = (F.col("op") == "range") & (F.col("seq") % 3 == 0)
+    rows = logs.requests(spark, sf_dir).withColumns({"key": F.when(turn, F.col("end_key")).otherwise(F.col("key")), "end_key": F.when(turn, F.col("key")).otherwise(F.col("end_key"))})
+    return requests_.answer_status(rows).where("op = 'range'").select("seq", "status")
+
+
 @_query(
     f"""WITH {SQL_REQUESTS}, w AS (SELECT * FROM requests WHERE op IN ('put', 'delete'))
     SELECT r.seq, r.key, CASE WHEN w.op = 'put' THEN 'ok' ELSE 'not_found' END AS status, CASE WHEN w.op = 'put' THEN w.value END AS value
@@ -362,9 +542,45 @@ def redirect_route(spark, sf_dir):
     return replication.route(nodes, ends)
 
 
+#: A follower's log departs from the leader's at two thirds of it.
+@_query(f"WITH {_ENTRIES}, cut AS (SELECT max(idx) * 2 // 3 AS parted FROM entries) SELECT coalesce(max(idx), 0) AS match_idx FROM entries, cut WHERE idx < parted")
+def common_prefix(spark, sf_dir):
+    entries = _entries(spark, sf_dir)
+    at = entries.agg(F.floor(F.max("idx") * 2 / 3).alias("at"))  # one row
+    other = entries.join(F.broadcast(at)).select("idx", (F.col("term") + (F.col("idx") >= F.col("at")).cast("long")).alias("term"))
+    return replication.common_prefix(entries, other)
+
+
+@_query(
+    f"""WITH {_ENTRIES}, top AS (SELECT coalesce(max(idx), 0) AS last FROM entries) SELECT idx, term, key, value FROM entries
+    UNION ALL SELECT last + 1 + n_nationkey, 1000, 'n' || CAST(n_nationkey AS VARCHAR), n_name FROM nation, top"""
+)
+def submit_write(spark, sf_dir):
+    """A leader's log with writes behind it; another node takes none."""
+    n = F.col("n_nationkey")
+    writes = spark.read.parquet(f"{sf_dir}/nation.parquet").select(n.cast("long").alias("pos"), F.lit(1).alias("op"), F.concat(F.lit("n"), n.cast("string")).alias("key"), F.encode("n_name", "UTF-8").alias("value"))
+    entries = _entries(spark, sf_dir)
+    kept = replication.submit(entries, writes, 1000, leads=False)
+    return _text(replication.submit(kept, writes, 1000, leads=True)).select("idx", "term", "key", "value")
+
+
+@_query("""SELECT n_regionkey AS cluster, CASE count(*) FILTER (WHERE n_nationkey % 9 = 0) WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 2 END AS code FROM nation GROUP BY n_regionkey""")
+def probe_result(spark, sf_dir):
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return replication.probe_result(nation.select(F.col("n_regionkey").alias("cluster"), (F.col("n_nationkey") % 9 == 0).alias("ok")))
+
+
 # ---------------------------------------------------------------- codec and frames
 
 
+@_query(f"WITH {SQL_PLAIN}, {SQL_SIZED} SELECT seq, CAST(record_size AS INTEGER) AS size FROM sized")
+def peek_size(spark, sf_dir):
+    """Sizes as the headers of encoded records tell them."""
+    log = logs.plain_log(spark, sf_dir)
+    record = F.when(F.col("op") == "delete", codec.encode_tombstone(F.col("key"), F.col("ts"))).otherwise(codec.encode_record(F.col("key"), F.coalesce("value", F.lit(b"")), F.col("ts")))
+    return log.select("seq", codec.peek_size(record).alias("size"))
+
+
 @_query("""SELECT conv_id || ':' || lpad(CAST(turn AS VARCHAR), 4, '0') AS key, text AS value, CAST(turn AS BIGINT) AS ts, false AS tombstone, CAST(NULL AS VARCHAR) AS corrupt_reason,
     CAST(20 + octet_length(encode(conv_id || ':' || lpad(CAST(turn AS VARCHAR), 4, '0'))) + octet_length(encode(text)) AS BIGINT) AS bytes FROM conversations""")
 def codec_roundtrip(spark, sf_dir):

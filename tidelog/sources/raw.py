@@ -2,12 +2,13 @@
 
 Records have no fixed width, so a file is walked from its start: one input partition a file, in bounded pieces. The walk
 ends at the first record that is cut off or damaged, as recovery does; with option ``strict`` it fails instead. With
-option ``all`` a last row tells why the walk ended.
+option ``all`` a last row tells why the walk ended. Names that start with a dot are unfinished files and no data.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from dataclasses import dataclass
 
@@ -40,6 +41,9 @@ def walk_records(f, size: int):
                 yield base + at, HEADER, None, None, None, None, "size"
                 return
             need = HEADER + key_size + max(value_size, 0)
+            if need > size - base - at:  # a damaged size would ask for more than there is
+                yield base + at, size - base - at, None, None, None, None, "truncated"
+                return
         body = data[at + 4 : at + need]
         if zlib.crc32(body) != crc:
             yield base + at, need, None, None, None, None, "checksum"
@@ -51,13 +55,26 @@ def walk_records(f, size: int):
 
 def walk_index(f, size: int):
     """(key, ts, value size, offset) of each whole entry; a partial last one ends the walk."""
-    data, at = f.read(size), 0
-    while at + INDEX_HEADER <= len(data):
+    data, base, at = b"", 0, 0
+    while base + at + INDEX_HEADER <= size:
+        if len(data) - at < INDEX_HEADER:
+            data, base, at = data[at:] + f.read(PIECE), base + at, 0
         ts, key_size, value_size, offset = struct.unpack_from(">qiiq", data, at)
-        if key_size < 0 or at + INDEX_HEADER + key_size > len(data):
+        need = INDEX_HEADER + key_size
+        if key_size < 0 or base + at + need > size:
             return
-        yield data[at + INDEX_HEADER : at + INDEX_HEADER + key_size].decode("utf-8", "replace"), ts, value_size, offset
-        at += INDEX_HEADER + key_size
+        if len(data) - at < need:
+            data, base, at = data[at:] + f.read(max(PIECE, need)), base + at, 0
+        yield data[at + INDEX_HEADER : at + need].decode("utf-8", "replace"), ts, value_size, offset
+        at += need
+
+
+def names_in(folder: str, suffix: str) -> list[str]:
+    """Finished files of a folder, sorted."""
+    from pyarrow import fs
+
+    files, path = fs.FileSystem.from_uri(folder)
+    return sorted(i.base_name for i in files.get_file_info(fs.FileSelector(path)) if i.base_name.endswith(suffix) and not i.base_name.startswith("."))
 
 
 @dataclass
@@ -76,8 +93,7 @@ class _Reader(DataSourceReader):
     def partitions(self):
         from pyarrow import fs
 
-        files, path = fs.FileSystem.from_uri(self.folder)
-        names = sorted(i.base_name for i in files.get_file_info(fs.FileSelector(path)) if i.base_name.endswith(self.suffix))
+        names = names_in(self.folder, self.suffix)
         return [OneFile(f"{self.folder}/{n}") for n in names] or [OneFile("")]
 
     def read(self, part):
@@ -119,8 +135,16 @@ class HintReader(_Reader):
     suffix = ".hint"
 
     def rows(self, f, size, file_id):
+        names, kinds = ["file_id", "key", "ts", "value_size", "offset"], [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64()]
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        held = []
         for key, ts, value_size, offset in walk_index(f, size):
-            yield file_id, key, ts, value_size, offset
+            held.append((file_id, key, ts, value_size, offset))
+            if len(held) >= 10_000:
+                yield batch(held)
+                held = []
+        if held:
+            yield batch(held)
 
 
 class LogSource(DataSource):
@@ -158,25 +182,31 @@ def read_hints(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _write_files(rows: DataFrame, folder: str, suffix: str) -> None:
-    """rows(file_id, offset, bytes): a task writes its files whole under another name first, then renames them."""
+    """rows(file_id, offset, bytes): a task writes its files whole under a name of its own first, then renames them.
+
+    Attempts that run side by side don't share those names; the one that ends last puts the same bytes in place again.
+    """
 
     def store(batches):
         from pyarrow import fs
 
         files, path = fs.FileSystem.from_uri(folder)
-        out, current, n = None, None, 0
+        out, current, n, attempt = None, None, 0, uuid.uuid4().hex
+
+        def finish():
+            out.close()
+            files.move(f"{path}/.{current}-{attempt}{suffix}", f"{path}/{current}{suffix}")
+
         for batch in batches:
             for file_id, data in zip(batch["file_id"].to_pylist(), batch["bytes"].to_pylist(), strict=True):
                 if file_id != current:
                     if out is not None:
-                        out.close()
-                        files.move(f"{path}/.{current}{suffix}", f"{path}/{current}{suffix}")
+                        finish()
                     current, n = file_id, n + 1
-                    out = files.open_output_stream(f"{path}/.{current}{suffix}")
+                    out = files.open_output_stream(f"{path}/.{current}-{attempt}{suffix}")
                 out.write(data)
         if out is not None:
-            out.close()
-            files.move(f"{path}/.{current}{suffix}", f"{path}/{current}{suffix}")
+            finish()
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
     from pyarrow import fs
@@ -199,18 +229,47 @@ def write_hints(keydir: DataFrame, folder: str) -> None:
 
 def recover(spark: SparkSession, folder: str) -> tuple[DataFrame, bool]:
     """(index rows, whether any file was there): index files if every data file has one, else a replay of the log."""
-    from pyarrow import fs
-
     from ..operators.views import live_hints
 
-    files, path = fs.FileSystem.from_uri(folder)
-    names = [i.base_name for i in files.get_file_info(fs.FileSelector(path))]
-    data = {n.removesuffix(".data") for n in names if n.endswith(".data") and not n.startswith(".")}
-    if data and data <= {n.removesuffix(".hint") for n in names}:
+    data = {n.removesuffix(".data") for n in names_in(folder, ".data")}
+    if data and data <= {n.removesuffix(".hint") for n in names_in(folder, ".hint")}:
         return live_hints(read_hints(spark, folder)), True
     return replay(read_log(spark, folder)), bool(data)
 
 
+def read_at(places: DataFrame, folder: str) -> DataFrame:
+    """places(file_id, offset, record_size, ...) with bytes, the record that lies there; a place outside its file fails.
+
+    A place whose file isn't there gives null, as a lookup in a dropped file does. Places of one file are dealt out in
+    pieces of it and read in order.
+    """
+
+    def fetch(batches):
+        from pyarrow import fs
+
+        files, path = fs.FileSystem.from_uri(folder)
+        name, f, size = None, None, 0
+        for batch in batches:
+            data = []
+            for file_id, offset, n in zip(*(batch[c].to_pylist() for c in ("file_id", "offset", "record_size")), strict=True):
+                if file_id != name:
+                    if f is not None:
+                        f.close()
+                    info = files.get_file_info(f"{path}/{file_id}.data")
+                    name, size = file_id, info.size
+                    f = files.open_input_file(info.path) if info.type == fs.FileType.File else None
+                if f is not None and (offset < 0 or offset + n > size):
+                    raise EOFError(f"{file_id}: {n} bytes at {offset} of {size}")
+                data.append(f.read_at(n, offset) if f is not None else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], names=[*batch.schema.names, "bytes"])
+        if f is not None:
+            f.close()
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in places.schema.fields)
+    dealt = places.repartition("file_id", F.floor(F.col("offset") / F.lit(64 << 20))).sortWithinPartitions("file_id", "offset")
+    return dealt.mapInArrow(fetch, f"{fields}, bytes binary")
+
+
 def replay(records: DataFrame) -> DataFrame:
     """The index by replaying records in order of file and offset."""
     place = F.struct("file_id", "offset")

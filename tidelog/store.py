@@ -1,11 +1,16 @@
 """The store: a folder of Parquet segments behind a manifest that is swapped whole.
 
-Writers collect rows and ``flush`` them as one segment; a segment counts once the manifest names it, so a batch is
-all there or not at all. Readers pin the manifest they opened, so compaction needs no lock. There is one writer.
+A write is on storage when it returns: as a small file of its rows in ``pending``, renamed into place. ``flush`` (and
+every read) collects pending rows as one segment; a segment counts once the manifest names it, so a batch is all there
+or not at all. Opening a store takes up what a lost writer left pending. There is one writer.
+
+Readers pin the manifest they opened, so compaction needs no lock: segments that it replaces stay, listed in the
+manifest with the time, until ``vacuum`` deletes those older than its grace period.
 """
 
 from __future__ import annotations
 
+import base64
 import json
 import time
 import uuid
@@ -13,8 +18,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import codec
 from .operators import compaction, reads, segments, views
 from .schema import BATCH, DELETE, MAX_FILE_SIZE, PUT, RECORD
+from .sources import raw
 
 
 class Store:
@@ -24,8 +31,9 @@ class Store:
         jvm = spark.sparkContext._jvm
         self._Path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._Path(self.path))
+        self._fs.mkdirs(self._Path(f"{self.path}/pending"))
         self.manifest = self._load()
+        self._take_pending()
 
     # ---------------------------------------------------------------- manifest
 
@@ -36,41 +44,73 @@ class Store:
     def _load(self) -> dict:
         versions = self._versions()
         if not versions:
-            return {"version": 0, "segments": [], "next_seq": 0, "next_file": 1, "commits": []}
+            return {"version": 0, "segments": [], "next_seq": 0, "old": [], "commits": {}}
         text = self.spark.read.text(f"{self.path}/manifest-{versions[-1]:010d}.json", wholetext=True).first()[0]
         return json.loads(text)
 
     def _swap(self, manifest: dict) -> None:
         """Writes the next version aside and renames it into place; the rename fails if another writer was first."""
-        manifest = manifest | {"version": self.manifest["version"] + 1}
-        aside = self._Path(f"{self.path}/.{uuid.uuid4().hex}")
-        out = self._fs.create(aside)
-        out.write(json.dumps(manifest).encode())
-        out.close()
-        to = self._Path(f"{self.path}/manifest-{manifest['version']:010d}.json")
-        if self._fs.exists(to) or not self._fs.rename(aside, to):
-            raise RuntimeError("another writer has committed")
+        before = self.manifest["version"]
+        manifest = manifest | {"version": before + 1}
+        self._write_whole(f"{self.path}/manifest-{manifest['version']:010d}.json", json.dumps(manifest).encode())
         self.manifest = manifest
+        for name in self._names("pending"):  # they are in the segments now, or were refused
+            if name < f"{before + 1:010d}":
+                self._fs.delete(self._Path(f"{self.path}/pending/{name}"), False)
 
     # ---------------------------------------------------------------- writes
 
     def put(self, key: str, value: bytes) -> None:
         if key is None or value is None:
             raise ValueError("key and value are needed")
-        self.buffer.append((key, value, self._now(), PUT))
+        self._accept([(key, value, self._now(), PUT)])
 
     def delete(self, key: str) -> None:
         if key is None:
             raise ValueError("a key is needed")
-        self.buffer.append((key, None, self._now(), DELETE))
+        self._accept([(key, None, self._now(), DELETE)])
 
     def batch_put(self, keys: list[str], values: list[bytes]) -> None:
         """Commits at once, with one timestamp; the last of a repeated key wins."""
         if len(keys) != len(values):
             raise ValueError("keys and values differ in number")
         ts = self._now()
-        self.buffer += [(k, v, ts, BATCH) for k, v in zip(keys, values, strict=True)]
-        self.flush()
+        if any(k is None or v is None for k, v in zip(keys, values, strict=True)):
+            raise ValueError("key and value are needed")
+        self._accept([(k, v, ts, BATCH) for k, v in zip(keys, values, strict=True)])
+
+    def _accept(self, rows: list[tuple]) -> None:
+        """Writes the rows as one pending file under the place they will have; a batch's rows are there together."""
+        if not rows:
+            return
+        if self._fs.exists(self._Path(f"{self.path}/manifest-{self.manifest['version'] + 1:010d}.json")):
+            raise RuntimeError("another writer has committed")
+        first = self.manifest["next_seq"] + len(self.buffer)
+        text = json.dumps([[k, None if v is None else base64.b64encode(v).decode(), ts, op] for k, v, ts, op in rows])
+        self._write_whole(f"{self.path}/pending/{self.manifest['version']:010d}-{first:020d}.json", text.encode())
+        self.buffer += rows
+
+    def _take_pending(self) -> None:
+        """Rows that a writer of this manifest's version acknowledged and didn't flush; others are in a segment or refused."""
+        mine, names = f"{self.manifest['version']:010d}-", self._names("pending")
+        for name in sorted(n for n in names if n.startswith(mine) and n.endswith(".json")):
+            text = self.spark.read.text(f"{self.path}/pending/{name}", wholetext=True).first()[0]
+            self.buffer += [(k, None if v is None else base64.b64decode(v), ts, op) for k, v, ts, op in json.loads(text)]
+
+    def _names(self, folder: str) -> list[str]:
+        return [s.getPath().getName() for s in self._fs.listStatus(self._Path(f"{self.path}/{folder}"))]
+
+    def _write_whole(self, to: str, data: bytes) -> None:
+        """Written aside, on storage, and renamed into place; fails if the name is taken."""
+        aside = self._Path(f"{self.path}/.{uuid.uuid4().hex}")
+        out = self._fs.create(aside)
+        out.write(data)
+        out.hsync()
+        out.close()
+        to = self._Path(to)
+        if self._fs.exists(to) or not self._fs.rename(aside, to):
+            self._fs.delete(aside, False)
+            raise RuntimeError("another writer has committed")
 
     @staticmethod
     def _now() -> int:
@@ -83,10 +123,13 @@ class Store:
             self._commit(self.spark.createDataFrame(rows, RECORD).coalesce(1), len(rows))
             self.buffer = []
 
-    def append(self, rows: DataFrame, commit: str | None = None) -> bool:
-        """Appends log rows (key, value, ts, op and an order in seq); False if that commit is in already."""
+    def append(self, rows: DataFrame, commit: tuple[str, int] | None = None) -> bool:
+        """Appends log rows (key, value, ts, op and an order in seq); False if that commit (stream, number) is in already.
+
+        A stream's numbers rise, so the manifest keeps the last of each stream only.
+        """
         self.flush()
-        if commit is not None and commit in self.manifest["commits"]:
+        if commit is not None and commit[1] <= self.manifest["commits"].get(commit[0], -1):
             return False
         base = self.manifest["next_seq"]
         top = rows.agg(F.max("seq")).first()[0]
@@ -96,16 +139,30 @@ class Store:
         self._commit(shifted, top + 1, commit)
         return True
 
-    def _commit(self, rows: DataFrame, n: int, commit: str | None = None) -> None:
+    def _commit(self, rows: DataFrame, n: int, commit: tuple[str, int] | None = None) -> None:
         name = f"segment-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.path}/{name}")
         m = self.manifest
-        self._swap(m | {"segments": [*m["segments"], name], "next_seq": m["next_seq"] + n, "commits": [*m["commits"], *([commit] if commit else [])]})
+        self._swap(m | {"segments": [*m["segments"], name], "next_seq": m["next_seq"] + n, "commits": m["commits"] | (dict([commit]) if commit else {})})
 
     def rotate(self) -> None:
-        """Forces a new file at the next write: only the raw layout has files, so this just bumps their number."""
+        """Closes the segment at hand: rows written from here on come in another."""
         self.flush()
-        self._swap(self.manifest | {"next_file": self.manifest["next_file"] + 1})
+
+    @classmethod
+    def recovered(cls, spark: SparkSession, path: str, folder: str, **options) -> Store:
+        """A new store of the rows that the raw files of a folder give after a crash: replayed, or as the index files say.
+
+        Values are read at the places of the index. The files stay as they are; the store's writes come behind them.
+        """
+        store = cls(spark, path, **options)
+        index, found = raw.recover(spark, folder)
+        if found:
+            rows = raw.read_at(index, folder).where("bytes is not null").select("file_id", "offset", codec.decode_record(F.col("bytes")).alias("r"))
+            files = spark.createDataFrame([(n.removesuffix(".data"), i) for i, n in enumerate(raw.names_in(folder, ".data"))], "file_id string, i long")
+            place = F.shiftleft(F.col("i"), 40) + F.col("offset")  # files in order, places in them: up to a terabyte each
+            store.append(rows.join(F.broadcast(files), "file_id").select(place.alias("seq"), "r.key", "r.value", "r.ts", F.lit(PUT).alias("op")))
+        return store
 
     # ---------------------------------------------------------------- reads
 
@@ -147,6 +204,16 @@ class Store:
     # ---------------------------------------------------------------- maintenance
 
     def segments(self) -> DataFrame:
+        """The log with record_size, the segment of each row as its file_id, and the offset it would have there."""
+        return segments.with_offsets(self._placed())
+
+    def _placed(self) -> DataFrame:
+        log = self.log()
+        name = F.regexp_extract(F.col("_metadata.file_path"), "(segment-[0-9a-f]+)", 1) if self.manifest["segments"] else F.lit("")
+        return views.sized(log.select("*", name.alias("file_id")))
+
+    def raw_segments(self) -> DataFrame:
+        """The log in files of max_file_size, as the raw layout has them: for ``raw.write_log``."""
         return segments.rotate(self.log(), self.max_file_size)
 
     def files(self) -> DataFrame:
@@ -156,14 +223,17 @@ class Store:
         return views.keydir(self.segments())
 
     def dead_bytes(self) -> DataFrame:
-        return segments.dead_bytes(self.segments())
+        return segments.dead_bytes(self._placed())
 
     def should_compact(self) -> bool:
         """Whether the share of superseded bytes reaches the threshold; a store has no active segment left open."""
-        return compaction.should_compact(self.segments(), "").first().should_compact
+        if not self.manifest["segments"] and not self.buffer:
+            return False
+        sums = self.dead_bytes().agg(F.sum("dead_bytes").alias("dead"), F.sum("file_bytes").alias("all")).first()
+        return bool(sums["all"]) and sums.dead / sums["all"] >= self.threshold
 
     def compact(self) -> dict[str, int]:
-        """Rewrites the live rows, by key, as the only segment and drops the others; bytes reclaimed, gross and net."""
+        """Rewrites the live rows, by key, as the only segment in use; bytes reclaimed once the others go, gross and net."""
         log = views.sized(self.log())
         before = log.agg(F.coalesce(F.sum("record_size"), F.lit(0))).first()[0]
         names, live = self.manifest["segments"], self.live()
@@ -173,11 +243,20 @@ class Store:
         rows = live.select("seq", "key", "value", "ts", F.lit(PUT).alias("op"))
         rows.repartitionByRange("key").sortWithinPartitions("key").write.parquet(f"{self.path}/{name}")
         after = views.sized(self.spark.read.schema(RECORD).parquet(f"{self.path}/{name}")).agg(F.coalesce(F.sum("record_size"), F.lit(0))).first()[0]
-        self._swap(self.manifest | {"segments": [name]})
-        for n in names:
-            self._fs.delete(self._Path(f"{self.path}/{n}"), True)
+        self._swap(self.manifest | {"segments": [name], "old": [*self.manifest["old"], *[[n, self._now()] for n in names]]})
         return {"gross": before, "net": before - after}
 
+    def vacuum(self, grace_sec: float = 3600.0) -> int:
+        """Deletes segments that compaction replaced more than grace_sec ago; readers opened before that may lose them."""
+        self.flush()
+        until = self._now() - grace_sec * 1000
+        gone = [n for n, at in self.manifest["old"] if at <= until]
+        if gone:
+            self._swap(self.manifest | {"old": [x for x in self.manifest["old"] if x[0] not in gone]})
+            for n in gone:
+                self._fs.delete(self._Path(f"{self.path}/{n}"), True)
+        return len(gone)
+
     def maybe_compact(self) -> dict[str, int] | None:
         return self.compact() if self.should_compact() else None
 

@@ -22,10 +22,46 @@ def streaming_live(log: DataFrame) -> DataFrame:
     return log.groupBy("key").agg(last).select("key", "r.op", "r.value", "r.ts", "r.seq")
 
 
-def append_once(store, batch_id_prefix: str = "stream"):
-    """A foreachBatch sink that appends each micro-batch to a store once, also when it is run again."""
+def append_once(store, stream: str = "stream", compact: bool = False):
+    """A foreachBatch sink that appends each micro-batch to a store once, also when it is run again.
+
+    With compact, the store is compacted behind a batch whenever its dead share reaches the threshold.
+    """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        store.append(batch, commit=f"{batch_id_prefix}-{batch_id}")
+        if store.append(batch, commit=(stream, batch_id)) and compact:
+            store.maybe_compact()
 
     return sink
+
+
+_FRONT = "dead long, ts array<long>, seq array<long>, value array<binary>"
+
+
+def streaming_replay(log: DataFrame) -> DataFrame:
+    """Update-mode rows (key, value, ts, seq) of the replay view; value, ts and seq are null once a key is dead.
+
+    Rows may come in any order. A key's state is its last deletion and the puts behind it that no other put beats in both
+    position and timestamp: a later deletion may still strike any put that is ahead now. Such puts have falling timestamps at
+    rising positions, so where clocks don't run back there is one.
+    """
+    import pandas as pd
+
+    def fold(key, frames, state):
+        dead, *front = state.get if state.exists else (-1, [], [], [])
+        puts = list(zip(*front, strict=True))
+        for frame in frames:
+            gone = frame["op"] == "delete"
+            dead = max([dead, *frame.loc[gone, "seq"].tolist()])
+            rows = frame[~gone]
+            puts += list(zip(rows["ts"].tolist(), rows["seq"].tolist(), rows["value"].tolist(), strict=True))
+        kept, best = [], None
+        for p in sorted((p for p in puts if p[1] > dead), key=lambda p: -p[1]):  # from the last position on
+            if best is None or p[0] > best:
+                kept.append(p)
+                best = p[0]
+        state.update((dead, [p[0] for p in kept], [p[1] for p in kept], [bytes(p[2]) for p in kept]))
+        ts, seq, value = kept[-1] if kept else (None, None, None)
+        yield pd.DataFrame({"key": [key[0]], "value": [value], "ts": pd.array([ts], "Int64"), "seq": pd.array([seq], "Int64")})
+
+    return log.groupBy("key").applyInPandasWithState(fold, "key string, value binary, ts long, seq long", _FRONT, "update", "NoTimeout")
