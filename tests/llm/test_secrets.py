@@ -75,3 +75,27 @@ def test_values_behind_an_equals_sign(spark):
         assert f"random:{at}:{at + n}" in rows[i].spans.split(","), (text[at - 30 :], rows[i].spans)
         assert rows[i].n_random == 1
     assert pieces(b"A=bc==") == [(0, 1), (2, 6)] and pieces(b"==") == [] and pieces(b"=a") == [(1, 2)]
+
+
+def test_planted_keys_by_encoding_and_length(spark):
+    """Keys among the runs of ordinary documents: nearly all found from 24 characters on, and next to nothing else."""
+    from tidelog.llm.secrets import ENCODINGS
+
+    r = random.Random(21)
+    docs = [x for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if x.text]
+    names = [f"{a}_{b}_of_the_{c}" for a in ("handler", "configuration", "transaction") for b in ("manager", "implementation") for c in ("application", "organisation", "environment")]
+    plain = [x.text + " " + r.choice(names) + " https/example/path/to/some/" + r.choice(names) for x in docs]
+    rows, kinds = [], {}
+    for encoding in ("HEX", "base32", "lower36", "alnum62", "base64", "base64url"):
+        for n in (20, 24, 32, 40, 64):
+            for _ in range(12):
+                key = "".join(r.choice(ENCODINGS[encoding]) for _ in range(n))
+                kinds[len(rows)] = (encoding, n)
+                rows.append(f"before {key} behind")
+    texts = [(i, t) for i, t in enumerate(rows + plain)]
+    got = {x.doc_id: x for x in digest(find_secrets(spark.createDataFrame(texts, "doc_id long, text string"))).collect()}
+    found = {i: bool(got[i].n_random or got[i].n_assign or got[i].n_access or got[i].n_hex) for i in kinds}
+    share = lambda test: sum(found[i] for i, k in kinds.items() if test(*k)) / sum(test(*k) for k in kinds.values())
+    assert share(lambda e, n: n >= 24) > 0.9 and share(lambda e, n: n >= 40) > 0.95
+    assert all(share(lambda e, n, x=x: e == x and n >= 32) > 0.85 for x in {e for e, _ in kinds.values()})
+    assert sum(got[i].n_random for i in range(len(rows), len(texts))) <= 5

@@ -4,11 +4,12 @@ Maximal runs of [A-Za-z0-9+/_=-] are split behind every "=" that isn't padding a
 value that follows), and each piece of MIN_RUN characters or more is tested. Its encoding is inferred as the
 smallest known alphabet that holds it (hex in either case, base 32, letters and digits, base 64 in either
 form). Under the hypothesis that it is random in that encoding, three tests look for deviations: chi-squared
-uniformity of the alphabet, runs above and below its middle, and lag-1 serial correlation; a run that any
-of them rejects (Bonferroni over the three) is ordinary text. Under the opposite hypothesis, that it is text
-as this corpus has it, the likelihood ratio of the uniform against a first-order character model of all
-documents bounds the p-value (Markov's inequality). Benjamini-Hochberg control of those p-values, by stratum
-of length since long runs are easier to tell, decides over all documents which runs are reported.
+uniformity of the alphabet, runs above and below its middle, and lag-1 serial correlation; the least of the three
+p-values (Bonferroni) is the battery's. Under the opposite hypothesis, that it is text as this corpus has it, the
+likelihood ratio of the uniform against a first-order character model of all documents bounds the p-value (Markov's
+inequality). Benjamini-Hochberg control decides twice over the runs of all documents, by stratum of length since long
+runs are easier to tell: which runs the battery sets aside as not random (at most VETO_FDR of those random in
+truth), and which of the others are reported (at most FDR of those text in truth).
 
 Passes: one that counts character pairs (a table of fixed size), one that scans, then small tables only.
 A null or empty text has no spans. Repeated rows are scanned each. Long texts are scanned whole.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from .common import materialize
 
 MIN_RUN = 20
 FDR = 0.01  # share of false reports accepted among those of a length stratum
-ALPHA = 0.003  # level at which the battery rejects randomness
+VETO_FDR = 0.003  # share of random ones accepted among those of a length stratum that the battery sets aside
 STRATA = (20, 24, 32, 48, 80)
 PRIOR = 1000  # pairs drawn from the single characters that smooth each row of the character model
 BINS = 400  # of 0.1 in -log10 p
@@ -159,12 +161,12 @@ def base_spans(data: bytes, lower: bytes | None = None) -> list[tuple[int, int,
     return out
 
 
-_FOUND = "doc_id long, base array<struct<start:long,kind:int,end:long>>, runs array<struct<start:long,end:long,stratum:int,bin:int>>"
+_FOUND = "doc_id long, base array<struct<start:long,kind:int,end:long>>, runs array<struct<start:long,end:long,stratum:int,veto:int,bin:int>>"
 
 
 def _scan(model: np.ndarray):
     span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
-    tested = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.int32()), ("bin", pa.int32())])
+    tested = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.int32()), ("veto", pa.int32()), ("bin", pa.int32())])
 
     def run(batches):
         for part, buf, off in common.parts(batches, "text"):
@@ -192,17 +194,15 @@ def _scan(model: np.ndarray):
                 encoding = infer_encoding(word)
                 if encoding is None:
                     continue
-                p = battery(word, encoding)
-                if 3 * min(p.values()) < ALPHA:
-                    continue
+                p = min(1.0, 3 * min(battery(word, encoding).values()))
                 stratum = sum(b - a >= x for x in STRATA) - 1
-                runs[i].append((a, b, max(0, stratum), min(BINS - 1, int(10 * text_evidence(word, encoding, model)))))
+                runs[i].append((a, b, max(0, stratum), min(BINS - 1, int(-10 * math.log10(max(p, 1e-300)))), min(BINS - 1, int(10 * text_evidence(word, encoding, model)))))
             for i in range(n):
                 if base[i] or runs[i]:
                     lead = np.concatenate([[0], np.cumsum((buf[off[i] : off[i + 1]] & 0xC0) != 0x80)])
                     at = lambda x, o=off[i], c=lead: int(c[x - o])  # noqa: E731  bytes to code points
                     base[i] = [(at(x), kind, at(y)) for x, kind, y in sorted(base[i])]
-                    runs[i] = [(at(x), at(y), k, p) for x, y, k, p in runs[i]]
+                    runs[i] = [(at(x), at(y), *more) for x, y, *more in runs[i]]
             to = lambda rows, t: pa.array([[dict(zip(t.names, r, strict=True)) for r in x] for x in rows], pa.list_(t))
             yield pa.RecordBatch.from_arrays([part["doc_id"], to(base, span), to(runs, tested)], names=["doc_id", "base", "runs"])
 
@@ -210,7 +210,7 @@ def _scan(model: np.ndarray):
 
 
 def thresholds(histogram: dict[tuple[int, int], int], fdr: float = FDR) -> dict[int, int]:
-    """Benjamini-Hochberg by stratum on binned p-values: the least bin (of -log10 p) that is reported."""
+    """Benjamini-Hochberg by stratum on binned p-values: the least bin (of -log10 p) that is rejected."""
     out = {}
     for stratum in {k for k, _ in histogram}:
         counts = np.array([histogram.get((stratum, b), 0) for b in range(BINS)], float)
@@ -221,14 +221,21 @@ def thresholds(histogram: dict[tuple[int, int], int], fdr: float = FDR) -> dict[
     return out
 
 
-def find_secrets(docs: DataFrame, fdr: float = FDR) -> DataFrame:
+def find_secrets(docs: DataFrame, fdr: float = FDR, veto_fdr: float = VETO_FDR) -> DataFrame:
     """doc_id and spans, an ordered array of (start, kind, end) in code points with kind an index of KINDS."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = materialize(rows.mapInArrow(_scan(character_model(rows)), _FOUND), "secrets")
-    counts = found.select(F.explode("runs").alias("r")).groupBy("r.stratum", "r.bin").count().collect()
-    least = thresholds({(r["stratum"], r["bin"]): r["count"] for r in counts}, fdr)
-    table = F.create_map(*[F.lit(x) for kv in least.items() for x in kv]) if least else None
-    kept = F.filter("runs", lambda r: r["bin"] >= table[r["stratum"]]) if least else F.filter("runs", lambda r: F.lit(False))
+    counts = found.select(F.explode("runs").alias("r")).groupBy("r.stratum", "r.veto", "r.bin").count().collect()  # a table of fixed size
+    tested, left = Counter(), Counter()
+    for r in counts:
+        tested[r.stratum, r.veto] += r["count"]
+    vetoes = thresholds(tested, veto_fdr)
+    for r in counts:
+        if r.veto < vetoes[r.stratum]:
+            left[r.stratum, r.bin] += r["count"]
+    least = thresholds(left, fdr)
+    at = lambda table: F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    kept = F.filter("runs", lambda r: (r["veto"] < at(vetoes)[r["stratum"]]) & (r["bin"] >= at(least)[r["stratum"]])) if least else F.filter("runs", lambda r: F.lit(False))
     added = F.transform(kept, lambda r: F.struct(r["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), r["end"].alias("end")))
     return found.select("doc_id", F.array_sort(F.concat("base", added)).alias("spans"))
 
