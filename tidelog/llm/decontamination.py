@@ -9,7 +9,8 @@ positions; a row before a separator is always sampled, so that walks never cross
 words, and runs of marked words are the spans to remove.
 
 The benchmark is the query set: its windows go out in blocks of at most BLOCK_WINDOWS, each shard meets every
-block. Documents are never shuffled, and each task holds one shard at a time.
+block. One block goes out with the only pass; of several, each has a pass of its own, whose hits are written out and
+merged, so that what is sent out doesn't grow with the benchmark. Each task holds one shard at a time.
 
 Nulls: a null text has no words, so it is never hit, and as an item gives no window. A null item_id marks words but
 has no name in the lists of items. Repeated documents are judged each; repeated items count once. An empty
@@ -18,6 +19,8 @@ benchmark hits nothing; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,8 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
+from .common import discard, materialize
 
 WINDOW = 10
 SHARD = 2 << 20
@@ -279,13 +284,82 @@ def _spans(s, e, woff, marked) -> tuple[np.ndarray, np.ndarray]:
     return s[first], e[last]
 
 
-def _share(docs: DataFrame, benchmark: DataFrame, window: int, most: int):
-    return [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark, window, most)]
+def _first_two(benchmark: DataFrame, window: int, most: int):
+    """(the only block, None), or (None, all blocks one after another) where there are several."""
+    rest = blocks(benchmark, window, most)
+    one, two = next(rest, _block({})), next(rest, None)
+    return (one, None) if two is None else (None, itertools.chain([one, two], rest))
+
+
+def _key():
+    """Rows of one doc_id and text are hit alike."""
+    return [F.col("doc_id").cast("long").alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")]
+
+
+_RUNS = "k long, h long, runs array<struct<first:long,last:long,start:long,end:long>>, items array<string>"
+
+
+def _hits_by_block(docs: DataFrame, several, shard_bytes: int) -> DataFrame:
+    """(k, h, runs, items) of the rows that any block hits: a pass over the documents for each, one block at a time."""
+    run_type = pa.list_(pa.struct([(c, pa.int64()) for c in ("first", "last", "start", "end")]))
+    rows, parts = docs.select(*_key(), "text"), []
+    for block in several:
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def search(batches, shared=shared):
+            for part, _, off, s, e, woff, marked, items in _shards(batches, [shared], shard_bytes):
+                runs: dict[int, list] = {}
+                if marked.any():
+                    for a, b in zip(*_spans(s, e, woff, marked), strict=True):
+                        i = int(np.searchsorted(off, a, "right")) - 1
+                        first, last = int(np.searchsorted(s, a)), int(np.searchsorted(s, b))
+                        runs.setdefault(i, []).append({"first": first - int(woff[i]), "last": last - int(woff[i]), "start": int(a - off[i]), "end": int(b - off[i])})
+                at = pa.array(list(runs), pa.int64())
+                names = pa.array([sorted(items.get(i, ())) for i in runs], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([part["k"].take(at), part["h"].take(at), pa.array(list(runs.values()), run_type), names], names=["k", "h", "runs", "items"])
+
+        parts.append(materialize(rows.mapInArrow(search, _RUNS), "leaks-block"))
+        shared.destroy()
+    every = functools.reduce(DataFrame.unionByName, parts)
+
+    def unite(batches):
+        for batch in batches:
+            out = []
+            for runs in batch["runs"].to_pylist():
+                kept: list[dict] = []
+                for r in sorted(runs, key=lambda r: (r["first"], r["last"])):
+                    if kept and r["first"] <= kept[-1]["last"]:
+                        kept[-1] |= {c: max(kept[-1][c], r[c]) for c in ("last", "end")}
+                    else:
+                        kept.append(dict(r))
+                out.append(kept)
+            yield pa.RecordBatch.from_arrays([batch["k"], batch["h"], pa.array(out, run_type), batch["items"]], names=["k", "h", "runs", "items"])
+
+    # repeated rows come as one: a row's runs are as many as its text allows
+    once = every.distinct().groupBy("k", "h").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    united = materialize(once.mapInArrow(unite, _RUNS), "leaks-hits")
+    discard(*parts)
+    return united
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and spans (byte ranges to remove)."""
-    shared = _share(docs, benchmark, window, block_windows)
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and spans (byte ranges to remove).
+
+    A benchmark of over block_windows windows takes a pass over the documents for each block of them, so that no more than
+    one block is on the driver or a worker at a time.
+    """
+    only, several = _first_two(benchmark, window, block_windows)
+    if several is not None:
+        hits = _hits_by_block(docs, several, shard_bytes)
+        n_words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+        rows = docs.select(*_key(), n_words.alias("n_words"))
+        joined = rows.join(hits.withColumnRenamed("k", "hk").withColumnRenamed("h", "hh"), rows.k.eqNullSafe(F.col("hk")) & (rows.h == F.col("hh")), "left")
+        runs, items = F.coalesce("runs", F.array().cast(hits.schema["runs"].dataType)), F.coalesce("items", F.array().cast("array<string>"))
+        n_hit = F.aggregate(runs, F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"])
+        spans = F.transform(runs, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end")))
+        return joined.select(
+            F.col("k").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort(items), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), spans.alias("spans"))
+    shared = [docs.sparkSession.sparkContext.broadcast(only)]
     pair = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches):
@@ -313,7 +387,30 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """The rows of docs with the spans cut out of text (a line break stands in for each); other columns as they are."""
-    shared = _share(docs, benchmark, window, block_windows)
+    only, several = _first_two(benchmark, window, block_windows)
+    if several is not None:
+        hits = _hits_by_block(docs, several, shard_bytes)
+        hits = hits.select(F.col("k").alias("hk"), F.col("h").alias("hh"), F.transform("runs", lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"))).alias("spans"))
+        # the row is one column, so that its names can't clash with those here
+        rows = docs.select(*_key(), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+        joined = rows.join(hits, rows.k.eqNullSafe(hits.hk) & (rows.h == hits.hh), "left")
+
+        def cut(batches):
+            for batch in batches:
+                texts = []
+                for text, spans in zip(batch["text"].to_pylist(), batch["spans"].to_pylist(), strict=True):
+                    if spans:
+                        data, pieces, here = text.encode("utf-8", "replace"), [], 0
+                        for r in spans:
+                            pieces.append(data[here : r["start"]])
+                            here = r["end"]
+                        text = b"\n".join([*pieces, data[here:]]).decode("utf-8", "replace")
+                    texts.append(text)
+                yield pa.RecordBatch.from_arrays([batch["row"], pa.array(texts, pa.string())], names=["row", "text"])
+
+        kept = joined.select("row", F.col("row.text").alias("text"), "spans").mapInArrow(cut, T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("text", T.StringType())]))
+        return kept.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+    shared = [docs.sparkSession.sparkContext.broadcast(only)]
 
     def run(batches):
         for part, buf, off, s, e, woff, marked, _ in _shards(batches, shared, shard_bytes):

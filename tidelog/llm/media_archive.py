@@ -2,8 +2,9 @@
 
 ``write_archives`` stores one member a row: the row's UTF-8 bytes, padded with bytes 255 to a positive multiple
 of 576, as the samples of an 8-bit grey PNG of width 576, in zip archives (members stored, not compressed
-again) of bounded size in a shared folder. A task writes under names of its own, and only what finished tasks
-report enters the folder's list, so retried or lost tasks leave nothing that is read.
+again) of bounded size in a shared folder. Archives are streamed out member by member. A task writes under names of
+its own, and only what finished tasks report enters the folder's list (one line an archive of ARCHIVE_BYTES), so
+retried or lost tasks leave nothing that is read.
 
 ``MediaArchiveSource`` (format ``media_archive``) plans byte ranges over the listed archives from their sizes
 alone, without opening them; a range's reader takes the members whose headers start in it from the archive's
@@ -22,7 +23,6 @@ import json
 import struct
 import time
 import uuid
-import zipfile
 import zlib
 from dataclasses import dataclass
 
@@ -35,9 +35,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from . import common
 
 WIDTH = 576
-ARCHIVE_BYTES = 32 << 20
-ARCHIVE_MEMBERS = 50_000  # a zip directory without extensions holds 65,535
-RANGE_BYTES = 16 << 20
+ARCHIVE_BYTES = 1 << 30
+ARCHIVE_MEMBERS = 1_000_000
+RANGE_BYTES = 256 << 20
 BATCH_BYTES = 4 << 20
 TRIES = 4
 LISTING = "_archives.json"
@@ -108,30 +108,42 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+_MANY = 0xFFFF  # entries from which on a zip directory needs its wide end record
+
+
 class _ArchiveWriter:
-    """Writes members to archives under folder and rolls over at the limits."""
+    """Streams members to archives under folder and rolls over at the limits."""
 
     def __init__(self, folder: str):
-        self.folder, self.zip, self.done = folder, None, []
+        self.folder, self.out, self.done = folder, None, []
 
     def add(self, name: str, media: bytes) -> None:
-        if self.zip is None:
-            self.out = io.BytesIO()  # seekable, so that member headers hold sizes and CRCs
-            self.zip, self.members, self.bytes = zipfile.ZipFile(self.out, "w", zipfile.ZIP_STORED), 0, 0
-        self.zip.writestr(zipfile.ZipInfo(name), media)
-        self.members, self.bytes = self.members + 1, self.bytes + len(media)
+        if self.out is None:
+            self.uri = f"{self.folder}/{uuid.uuid4().hex}.zip"
+            files, path = _open(self.uri)
+            self.out, self.directory, self.members, self.bytes = files.open_output_stream(path), io.BytesIO(), 0, 0
+        data, crc = name.encode(), zlib.crc32(media)
+        # version, flags, method, time, date, CRC, sizes, lengths: the same in the header and the directory
+        fields = struct.pack("<HHHHHLLLHH", 20, 0, 0, 0, 0x21, crc, len(media), len(media), len(data), 0)
+        self.directory.write(b"PK\x01\x02" + struct.pack("<H", 20) + fields + struct.pack("<HHHLL", 0, 0, 0, 0, self.bytes) + data)
+        for part in (b"PK\x03\x04", fields, data, media):
+            self.out.write(part)
+        self.members, self.bytes = self.members + 1, self.bytes + 30 + len(data) + len(media)
         if self.bytes >= ARCHIVE_BYTES or self.members >= ARCHIVE_MEMBERS:
             self.close()
 
     def close(self) -> None:
-        if self.zip is not None:
-            self.zip.close()
-            uri = f"{self.folder}/{uuid.uuid4().hex}.zip"
-            files, path = _open(uri)
-            with files.open_output_stream(path) as f:
-                f.write(self.out.getbuffer())
-            self.done.append((uri, self.members))
-            self.zip = None
+        if self.out is not None:
+            size, n = self.directory.tell(), self.members
+            self.out.write(self.directory.getvalue())
+            if n >= _MANY:
+                self.out.write(b"PK\x06\x06" + struct.pack("<QHHLLQQQQ", 44, 45, 45, 0, 0, n, n, size, self.bytes))
+                self.out.write(b"PK\x06\x07" + struct.pack("<LQL", 0, self.bytes + size, 1))
+            few = min(n, _MANY)
+            self.out.write(b"PK\x05\x06" + struct.pack("<HHHHLLH", 0, 0, few, few, size, self.bytes, 0))
+            self.out.close()
+            self.done.append((self.uri, n))
+            self.out = None
 
 
 def write_archives(docs: DataFrame, folder: str) -> int:
@@ -159,16 +171,22 @@ def write_archives(docs: DataFrame, folder: str) -> int:
     return sum(r.members for r in archives)
 
 
-def archive_directory(f) -> list[tuple[str, int]]:
-    """(member name, header offset) of each entry of the archive's directory, in its order."""
+def archive_directory(f, start: int = 0, stop: int | None = None) -> list[tuple[str, int]]:
+    """(member name, header offset) of each entry of the archive's directory whose offset is in start..stop, in its order."""
     end = f.size() - 22
     sign, _, _, _, n, size, at, _ = struct.unpack("<4s4H2LH", f.read_at(22, end))
     if sign != b"PK\x05\x06":
         raise ValueError("no directory at the archive's end")
+    if n == _MANY:  # the wide end record has the number
+        sign, place = struct.unpack("<4s4xQ4x", f.read_at(20, end - 20))
+        if sign == b"PK\x06\x07":
+            n, size, at = struct.unpack("<32xQQQ", f.read_at(56, place))
     table, at, out = f.read_at(size, at), 0, []
     for _ in range(n):
         name, extra, comment = struct.unpack_from("<3H", table, at + 28)
-        out.append((table[at + 46 : at + 46 + name].decode(), struct.unpack_from("<L", table, at + 42)[0]))
+        offset = struct.unpack_from("<L", table, at + 42)[0]
+        if offset >= start and (stop is None or offset < stop):
+            out.append((table[at + 46 : at + 46 + name].decode(), offset))
         at += 46 + name + extra + comment
     return out
 
@@ -223,15 +241,13 @@ class MediaArchiveReader(DataSourceReader):
     def read(self, part: ByteRange):
         if not part.archive:
             return
-        members, error = self._retry(part.archive, archive_directory)
+        members, error = self._retry(part.archive, lambda f: archive_directory(f, part.start, part.end))
         if members is None:
             raise OSError(f"{part.archive}: {error}")
         files, path = _open(part.archive)
         rows, held = [], 0
         with files.open_input_file(path) as f:
             for name, offset in members:
-                if not part.start <= offset < part.end:
-                    continue
                 try:
                     media, error = read_member(f, offset), None
                 except (OSError, ValueError, struct.error):
