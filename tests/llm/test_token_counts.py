@@ -43,3 +43,21 @@ def test_other_tokenizers_take_whole_texts(spark, name):
     docs = spark.createDataFrame([(1, "two  words"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r.n_tokens for r in token_counts(docs, public_tokenizers.path(name)).collect()}
     assert got[1] > 1 and got[2] == 0
+
+
+def test_only_tokenizers_that_remove_white_space_are_cut_there(tmp_path):
+    from tokenizers import Regex, models, pre_tokenizers
+
+    from tidelog.llm.token_counts import splits_at_space
+
+    assert splits_at_space(PATH) and not splits_at_space(public_tokenizers.path("byte_bpe_50k.json"))
+    for pre, want in (
+        (pre_tokenizers.WhitespaceSplit(), True),
+        (pre_tokenizers.Split("x", "removed"), False),  # removes something else
+        (pre_tokenizers.Split(Regex(" "), "removed"), False),  # leaves line breaks
+        (pre_tokenizers.Metaspace(), False),
+    ):
+        tok = Tokenizer(models.BPE())
+        tok.pre_tokenizer = pre
+        tok.save(str(tmp_path / "t.json"))
+        assert splits_at_space(str(tmp_path / "t.json")) is want

@@ -24,9 +24,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a local one where that is unset."""
+    """The shared folder named in spark.checkpoint.dir; only a local session may go without, and gets a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
         root = getattr(spark, "_tidelog_scratch", None) or tempfile.mkdtemp(prefix="tidelog-")
         spark._tidelog_scratch = root
     return root.rstrip("/")

@@ -12,8 +12,9 @@
    (suffix filter: a bound on the differences of all that is left), first the short ones, then the strong ones.
 4. Groups of up to SMALL classes give all their candidates at once. Larger ones (and salted ones) give only each
    class's nearest candidate or a spanning forest first; those pairs, and each class's nearest of small groups, are
-   verified and contracted. Then the pairs of small groups that still join two components follow, and all
-   candidates between different components of the larger groups, dealt out by the exact number of their members. So a
+   verified and contracted. Then the pairs of small groups that still join two components follow, and all candidates
+   between different components of the larger groups, dealt out by the exact number of their members and compared by
+   signatures of MIDDLE bits as well before they leave their group. So a
    group of near copies yields about as many pairs as members, and no link between components is lost.
 5. Each pair is verified once on the full sets. Components of the links give each document's class id.
 
@@ -44,6 +45,7 @@ BLOCK = 8192  # and in the second, whose groups are dealt out in pairs of blocks
 TILE = 512  # rows that are compared with as many at once
 WHOLE = 1024  # rows of a larger group that are compared all with all to find their forest
 FAR = 1 << 14  # no distance of signatures
+MIDDLE = 1024  # bits of a strong signature, at least; those that the second wave's groups compare
 SMALL = 32  # members of groups that are compared many groups at once
 PIECE = 1 << 18  # bytes of text that are hashed at once
 PAIR_BYTES = PIECE  # of texts whose pairs are verified at once
@@ -119,12 +121,12 @@ def _cell_counts(docs: DataFrame, k: int, bits: int) -> np.ndarray:
 
 
 def _strong(h: np.ndarray, off: np.ndarray) -> list[bytes]:
-    """As the signature, of about as many bits as the set has shingles: the next power of two, 256 at least.
+    """As the signature, of about as many bits as the set has shingles: the next power of two, MIDDLE at least.
 
     One of 2m bits folds to that of m bits by xor of its halves, so those of sets of unlike sizes compare.
     """
     n = np.diff(off)
-    bits = 1 << np.maximum(8, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    bits = 1 << np.maximum(MIDDLE.bit_length() - 1, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
     row = np.repeat(np.arange(len(n)), n)
     start = np.concatenate([[0], np.cumsum(bits)])
     at = start[:-1][row] + ((h >> U(24)) & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
@@ -144,7 +146,7 @@ def _signature(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-_ROWS = "doc_id long, n long, c binary, prefix array<long>, salts array<int>, s1 long, s2 long, strong binary"
+_ROWS = "doc_id long, n long, c binary, prefix array<long>, salts array<int>, s1 long, s2 long, strong binary, middle binary"
 
 
 def _describe(docs: DataFrame, k: int, percent: int, bits: int | None, split: int) -> DataFrame:
@@ -178,10 +180,12 @@ def _describe(docs: DataFrame, k: int, percent: int, bits: int | None, split: in
             salt, salted = salt[np.repeat(has, size)], np.concatenate([[0], np.cumsum(np.where(has, size, 0))])
             s1, s2 = _signature(h, soff)
             digests = [xxh3_128_digest(h[soff[i] : soff[i + 1]].tobytes()) for i in range(len(n))]
+            strong = _strong(h, soff)
+            middle = [None if 8 * len(x) == MIDDLE else _folded(x, MIDDLE // 64).tobytes() for x in strong]
             to = pa.array(poff, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [part["doc_id"], pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(to, pa.array(h[at].view(np.int64))), pa.ListArray.from_arrays(pa.array(salted, pa.int32()), pa.array(salt)), pa.array(s1), pa.array(s2), pa.array(_strong(h, soff), pa.binary())],
-                names=["doc_id", "n", "c", "prefix", "salts", "s1", "s2", "strong"],
+                [part["doc_id"], pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(to, pa.array(h[at].view(np.int64))), pa.ListArray.from_arrays(pa.array(salted, pa.int32()), pa.array(salt)), pa.array(s1), pa.array(s2), pa.array(strong, pa.binary()), pa.array(middle, pa.binary())],
+                names=["doc_id", "n", "c", "prefix", "salts", "s1", "s2", "strong", "middle"],
             )
 
     return docs.mapInArrow(run, _ROWS)
@@ -211,6 +215,16 @@ def _allowed(a: dict, b: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return ok & (apart <= na + nb - 2 * need), apart
 
 
+def _middling(a: dict, b: dict, percent: int) -> np.ndarray:
+    """Which pairs' middle signatures differ in no more bits than linked sets may in shingles."""
+    ok = np.zeros(len(a["n"]), bool)
+    for lo in range(0, len(ok), 1 << 16):
+        x, y = (np.frombuffer(b"".join(v["middle"][lo : lo + (1 << 16)]), np.uint64).reshape(-1, MIDDLE // 64) for v in (a, b))
+        n = a["n"][lo : lo + (1 << 16)].astype(np.int64) + b["n"][lo : lo + (1 << 16)]
+        ok[lo : lo + (1 << 16)] = np.bitwise_count(x ^ y).sum(1) <= n - 2 * ((percent * n + percent + 99) // (100 + percent))
+    return ok
+
+
 def _tiles(n: np.ndarray, m: np.ndarray, percent: int, same: bool):
     """Slices of rows sorted by size that the length filter lets meet."""
     for i in range(0, len(n), TILE):
@@ -240,7 +254,7 @@ def _candidates(tables, percent: int, dealt: bool = False, trees: bool = False):
 
     With trees, groups of over SMALL rows (large) give only the edges of a least spanning forest of each WHOLE rows,
     in order of size, and else the pairs of tiles. Small groups are compared all at once, row by row with the row k places on. Where groups are dealt,
-    rows of one salt meet only those of the other.
+    rows of one salt meet only those of the other. Where rows have a middle signature, pairs must pass by it as well.
     """
 
     def compare(a, b):
@@ -263,6 +277,8 @@ def _candidates(tables, percent: int, dealt: bool = False, trees: bool = False):
                 break
             a, b = ({c: v[row + d] for c, v in t.items()} for d in (0, k))
             ok, apart = compare(a, b)
+            if "middle" in t:
+                ok[ok] = _middling({c: v[ok] for c, v in a.items()}, {c: v[ok] for c, v in b.items()}, percent)
             if ok.any():
                 yield False, a["cid"][ok], b["cid"][ok], apart[ok]
         for g in np.flatnonzero(size > SMALL):
@@ -280,6 +296,9 @@ def _candidates(tables, percent: int, dealt: bool = False, trees: bool = False):
                 if i == j:
                     ok = np.triu(ok, 1)
                 r, c = np.nonzero(ok)
+                if "middle" in t and len(r):
+                    near = _middling({x: whole[x][i][r] for x in ("n", "middle")}, {x: whole[x][j][c] for x in ("n", "middle")}, percent)
+                    r, c = r[near], c[near]
                 if len(r):
                     yield True, whole["cid"][i][r], whole["cid"][j][c], apart[r, c]
 
@@ -514,7 +533,7 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, bits: int
 def _search(docs: DataFrame, k: int, percent: int, bits: int | None, split: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The rows with their sets' sizes and digests, the classes, the links that tell the components, and each linked class's root."""
     rows = materialize(_describe(docs, k, percent, bits, split), "ngram-rows")
-    firsts = [F.first(c).alias(c) for c in ("n", "prefix", "salts", "s1", "s2", "strong")]
+    firsts = [F.first(c).alias(c) for c in ("n", "prefix", "salts", "s1", "s2", "strong", "middle")]
     grouped = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("size"), *firsts)
     full = materialize(grouped.withColumn("cid", F.monotonically_increasing_id()), "ngram-classes")
     slim = materialize(rows.select("doc_id", "n", "c"), "ngram-sets")
@@ -542,7 +561,7 @@ def _search(docs: DataFrame, k: int, percent: int, bits: int | None, split: int,
     root = lambda on: roots.select(F.col("node").alias(on), F.col("root").alias(f"{on}_root"))
     open_ = small.select("a", "b").join(root("a"), "a", "left").join(root("b"), "b", "left").where(label("a") != label("b")).select("a", "b")
     labelled = found.where(F.col("kind") == _ENTRY).select(F.col("a").alias("cid"), "token", "n", "pos", "s1", "s2").join(root("cid"), "cid", "left").withColumn("label", label("cid")).drop("cid_root")
-    labelled = materialize(labelled, "ngram-labelled")
+    labelled = materialize(labelled.join(full.select("cid", F.coalesce("middle", "strong").alias("middle")), "cid"), "ngram-labelled")
     mixed = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi").select("token", F.ceil(F.col("members") / F.lit(block)).cast("int").alias("salts"))
     # the blocks of a token meet in pairs: a row goes to each pair that holds its block
     salted = labelled.join(mixed, "token").withColumn("salt", F.pmod(F.xxhash64("cid", "token"), F.col("salts").cast("long")).cast("int"))

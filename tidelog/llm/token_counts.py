@@ -90,12 +90,15 @@ def safe_pieces(text: bytes, limit: int) -> Iterator[bytes]:
 
 
 def splits_at_space(path: str) -> bool:
-    """Whether white space ends every token: a pre-tokenizer that removes it, as read from the file."""
-    import json
-
-    with open(path, encoding="utf-8") as f:
-        text = json.dumps(json.load(f).get("pre_tokenizer") or {})
-    return '"Removed"' in text or '"Whitespace"' in text or '"WhitespaceSplit"' in text or '"BertPreTokenizer"' in text
+    """Whether every ASCII white space ends a token and is none itself, as the tokenizer's own pre-tokenizer does it."""
+    from tokenizers import Tokenizer
+
+    pre = Tokenizer.from_file(path).pre_tokenizer
+    if pre is None:
+        return False
+    cut = lambda text: [piece for piece, _ in pre.pre_tokenize_str(text)]
+    alone = cut("ab") + cut("cd")
+    return all(cut(f"{before}ab{s}cd{s}") == alone for c in " \t\n\r\x0b\x0c" for s in (c, c * 3, f" {c}", f"{c} ") for before in ("", c))
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, slice_bytes: int = common.CHUNK) -> DataFrame:
