@@ -227,8 +227,10 @@ def test_sums_and_values_carried_over_blocks(spark):
         want[seq] = (sums[k], last.get(k))
         last[k] = v if v is not None else last.get(k)
     for block in (7, 1000):
-        got = carried(running_sum(df, ["key"], "seq", "n", "s", block), ["key"], F.col("seq"), F.col("v"), "before", block).collect()
+        got = carried(running_sum(df, ["key"], "seq", "n", "s", block), ["key"], "seq", "v", "before", block).collect()
         assert {x.seq: (x.s, x.before) for x in got} == want
+        behind = {x.seq: x.after for x in carried(df, ["key"], "seq", "v", "after", block, ahead=True).collect()}
+        assert behind == {seq: next((v for s, k2, v, _ in rows[seq + 1 :] if k2 == k and v is not None), None) for seq, k, _, _ in rows}
 
 
 def test_streaming_index_and_sink(spark, tmp_path):

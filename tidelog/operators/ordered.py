@@ -34,13 +34,18 @@ def running_sum(rows: DataFrame, keys: list[str], order: str, value: str, name:
     return _known(rows, keys, totals).withColumn(name, F.col("_base") + F.sum(value).over(inside)).drop("_base", "_block")
 
 
-def carried(rows: DataFrame, keys: list[str], order: Column, value: Column, name: str, block: int = BLOCK) -> DataFrame:
-    """rows with the last value that isn't null of the rows of equal keys strictly before each, by order; null without one."""
-    rows = _blocked(rows.withColumn("_order", order).withColumn("_value", value), F.col("_order"), block)
-    last = F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("_order"))).alias("_last")
-    totals = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_block").alias("_b")).agg(last)
-    earlier = Window.partitionBy(*[f"_{k}" for k in keys]).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("_prior", F.last("_last", ignorenulls=True).over(earlier)).drop("_last")
-    inside = Window.partitionBy(*keys, "_block").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
-    found = F.coalesce(F.last("_value", ignorenulls=True).over(inside), F.col("_prior"))
-    return _known(rows, keys, totals).withColumn(name, found).drop("_prior", "_block", "_order", "_value")
+def carried(rows: DataFrame, keys: list[str], order: str, value: str, name: str, block: int = BLOCK, ahead: bool = False) -> DataFrame:
+    """rows with the last value that isn't null of the rows of equal keys strictly before each, by order; null without one.
+
+    With ahead it is the first value behind each.
+    """
+    rows = _blocked(rows, F.col(order), block)
+    place = F.when(F.col(value).isNotNull(), F.col(order))
+    edge = (F.min_by if ahead else F.max_by)(value, place).alias("_edge")
+    totals = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_block").alias("_b")).agg(edge)
+    turned = lambda c: F.col(c).desc() if ahead else F.col(c).asc()
+    earlier = Window.partitionBy(*[f"_{k}" for k in keys]).orderBy(turned("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_prior", F.last("_edge", ignorenulls=True).over(earlier)).drop("_edge")
+    inside = Window.partitionBy(*keys, "_block").orderBy(turned(order)).rowsBetween(Window.unboundedPreceding, -1)
+    found = F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("_prior"))
+    return _known(rows, keys, totals).withColumn(name, found).drop("_prior", "_block")

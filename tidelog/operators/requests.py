@@ -16,7 +16,7 @@ def _as_of(asked: DataFrame, requests: DataFrame) -> DataFrame:
     writes = requests.where(F.col("op").isin(*WRITES)).select("seq", "key", F.struct("op", "value").alias("_w"))
     rows = writes.unionByName(asked.select("seq", "key", F.lit(None).cast(writes.schema["_w"].dataType).alias("_w")))
     # writes and reads never share a position, so those without a value are the ones asked
-    return carried(rows, ["key"], F.col("seq"), F.col("_w"), "w").where("_w is null").select("seq", "key", "w")
+    return carried(rows, ["key"], "seq", "_w", "w").where("_w is null").select("seq", "key", "w")
 
 
 def answer_gets(requests: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ def dead_rows(segments: DataFrame) -> DataFrame:
     A batch doesn't count what it overwrites, and deletions themselves never count; superseded has the full truth.
     """
     after = F.col("next_op")
-    rows = carried(segments, ["key"], -F.col("seq"), F.col("op"), "next_op")
+    rows = carried(segments, ["key"], "seq", "op", "next_op", ahead=True)
     return rows.withColumn("counted", (F.col("op") != "delete") & F.coalesce(after.isin("put", "delete"), F.lit(False))).withColumn("superseded", after.isNotNull() | (F.col("op") == "delete"))
 
 

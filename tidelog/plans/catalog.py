@@ -239,7 +239,10 @@ def compaction_stats(spark, sf_dir):
 def _twice_compacted(spark, sf_dir):
     """Compacted once when file 5 was active, and again when file 10 is."""
     log, first = logs.segmented(spark, sf_dir), "0000000005"
+    folder = scratch_folder(spark, "compacted")
     once = compaction.compact(log.where(F.col("file_id") <= first), first, 0)
+    once.write.parquet(folder)  # a compaction's files are written before the next one reads them
+    once = spark.read.schema(once.schema).parquet(folder)
     return compaction.compact(once.unionByName(log.where(F.col("file_id") > first)), "0000000010", 11)
 
 
@@ -578,7 +581,7 @@ def peek_size(spark, sf_dir):
     """Sizes as the headers of encoded records tell them."""
     log = logs.plain_log(spark, sf_dir)
     record = F.when(F.col("op") == "delete", codec.encode_tombstone(F.col("key"), F.col("ts"))).otherwise(codec.encode_record(F.col("key"), F.coalesce("value", F.lit(b"")), F.col("ts")))
-    return log.select("seq", codec.peek_size(record).alias("size"))
+    return log.select("seq", record.alias("b")).select("seq", codec.peek_size(F.col("b")).alias("size"))
 
 
 @_query("""SELECT conv_id || ':' || lpad(CAST(turn AS VARCHAR), 4, '0') AS key, text AS value, CAST(turn AS BIGINT) AS ts, false AS tombstone, CAST(NULL AS VARCHAR) AS corrupt_reason,
