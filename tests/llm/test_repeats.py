@@ -98,3 +98,11 @@ def test_small_pieces():
     texts = [b"abcdefgh", b"xxabcdef", b"abcdefgh"]
     found = repeated_starts(texts, np.array([[1, 0], [2, 0], [3, 0]]), 5, shards=2)
     assert [sorted(x.tolist()) for x in found] == [[], [2, 3], [0, 1, 2, 3]]
+
+
+def test_many_texts_without_an_id(spark):
+    r = random.Random(6)
+    passages = ["".join(r.choice("abcdefgh ") for _ in range(180)) for _ in range(4)]
+    rows = [(None if i % 2 else i, f"{r.randrange(99)} {passages[i % 4][: r.randint(100, 180)]} {r.randrange(99)}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert [x[1:3] for x in order(digest(cut_repeats(docs)).collect()) if x[0] is not None] == [x[1:3] for x in order(brute(rows, 100)) if x[0] is not None]

@@ -283,10 +283,9 @@ def repeated_starts(texts: list[bytes], where: np.ndarray, length: int, shards:
 
 
 def _contexts(length: int):
-    """The bytes of runs, cut from their documents; rows (doc_id, z, runs)."""
+    """The bytes of runs, cut from their documents; rows (doc_id, t, z, runs)."""
 
     def run(batches):
-        from xxhash import xxh32_intdigest
         from zstandard import ZstdDecompressor
 
         unpack = ZstdDecompressor()
@@ -294,13 +293,11 @@ def _contexts(length: int):
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
             out, weight = [], 0
-            for doc_id, z, runs in zip(batch["doc_id"].to_pylist(), batch["z"], batch["runs"].to_pylist(), strict=True):
+            for doc_id, t, z, runs in zip(batch["doc_id"].to_pylist(), batch["t"].to_pylist(), batch["z"], batch["runs"].to_pylist(), strict=True):
                 data = unpack.decompress(z.as_buffer())
-                t = int(np.uint32(xxh32_intdigest(data)).view(np.int32))
                 for r in runs:
-                    if r["t"] == t:
-                        out.append((r["a"], doc_id, t, r["p"], r["m"], r["d"], data[r["p"] : r["p"] + r["m"] + length - 1]))
-                        weight += len(out[-1][-1])
+                    out.append((r["a"], doc_id, t, r["p"], r["m"], r["d"], data[r["p"] : r["p"] + r["m"] + length - 1]))
+                    weight += len(out[-1][-1])
                 if weight > BIN:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
                     out, weight = [], 0
@@ -404,9 +401,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
         whole = later.select("doc_id", "t", F.col("p").cast("long").alias("start"), (F.col("p") + F.col("m") + length - 1).cast("long").alias("end"))
 
         several = first.groupBy("a").count().where("count > 1").select("a")
-        open_ = first.join(several, "a").select("a", "f.*").groupBy("doc_id").agg(F.collect_list(F.struct("a", "t", "p", "m", "d")).alias("runs"))
-        texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text").mapInArrow(_zip, "doc_id long, z binary")
-        contexts = texts.join(open_, "doc_id").select("doc_id", "z", "runs").mapInArrow(_contexts(length), "a long, doc_id long, t int, p int, m int, d int, ctx binary")
+        open_ = first.join(several, "a").select("a", "f.*").groupBy("doc_id", "t").agg(F.collect_list(F.struct("a", "p", "m", "d")).alias("runs"))  # of one text
+        texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text").mapInArrow(_zip, "doc_id long, t int, z binary")
+        contexts = texts.join(open_, ["doc_id", "t"]).select("doc_id", "t", "z", "runs").mapInArrow(_contexts(length), "a long, doc_id long, t int, p int, m int, d int, ctx binary")
         contexts = materialize(contexts.withColumn("cid", F.monotonically_increasing_id()), "repeats-contexts")
         cores = materialize(contexts.mapInArrow(_cores(length), "k long, cid long"), "repeats-cores")
         twins = cores.groupBy("k").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi").select("k")
@@ -425,11 +422,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
 
 
 def _zip(batches):
+    from xxhash import xxh32_intdigest
     from zstandard import ZstdCompressor
 
     z = ZstdCompressor(level=3)
     for part, buf, off in common.parts(batches, "text"):
-        yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([z.compress(buf[off[i] : off[i + 1]]) for i in range(len(off) - 1)], pa.binary())], names=["doc_id", "z"])
+        texts = [buf[off[i] : off[i + 1]] for i in range(len(off) - 1)]
+        t = np.array([xxh32_intdigest(x) for x in texts], np.uint32).view(np.int32)
+        yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(t), pa.array([z.compress(x) for x in texts], pa.binary())], names=["doc_id", "t", "z"])
 
 
 # ---------------------------------------------------------------- removal
