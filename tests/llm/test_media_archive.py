@@ -72,3 +72,53 @@ def test_png(data):
     assert feature(payload) == feature(bytes(payload))
     with pytest.raises((ValueError, zlib.error)):
         decode_png(encode_png(payload)[:-20] + b"y" * 20)
+
+
+def test_what_is_stored_by_other_readers(spark, tmp_path, monkeypatch):
+    """Stored sizes, digests and features against the archives as the standard library reads them."""
+    import hashlib
+    import math
+    import zipfile
+    import zlib
+    from collections import Counter
+
+    from tidelog.llm import media_archive as M
+
+    texts = [(i, t) for i, t in enumerate([None, "", "a", "é" * 700, "x" * 576, "word " * 9000, "same", "same"])]
+    M.write_archives(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), str(tmp_path / "a"))
+    got = {r.doc_id: r for r in M.media_columns(M.read_archives(spark, str(tmp_path / "a"))).collect()}
+    assert len(got) == len(texts)
+    seen = 0
+    for archive in (tmp_path / "a").glob("*.zip"):
+        with zipfile.ZipFile(archive) as z:
+            assert z.testzip() is None
+            for name in z.namelist():
+                media, r = z.read(name), got[int(name.partition("_")[2])]
+                seen += 1
+                assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+                body = media[media.index(b"IDAT") + 4 : media.rindex(b"IEND") - 8]
+                lines = zlib.decompress(body)
+                payload = b"".join(lines[k + 1 : k + 577] for k in range(0, len(lines), 577))
+                data = (dict(texts)[r.doc_id] or "").encode()
+                assert payload.startswith(data) and set(payload[len(data) :]) <= {255} and len(payload) % 576 == 0
+                n, count = len(payload), Counter(payload)
+                mean = sum(payload) / n
+                std = math.sqrt(max(0, sum(c * b * b for b, c in count.items()) / n - mean * mean))
+                entropy = -sum(c / n * math.log2(c / n) for c in count.values())
+                levels = "/".join(str(sum(c for b, c in count.items() if b // 32 == k) * 1000 // n) for k in range(8))
+                assert r.feature == f"mean={mean:.3f};std={std:.3f};entropy={entropy + 0.0:.3f};levels={levels}"
+    assert seen == len(texts)
+    # archives of very many members have a wide end record
+    monkeypatch.setattr(M, "ARCHIVE_MEMBERS", 70_000)
+    writer = M._ArchiveWriter(str(tmp_path))
+    for i in range(66_000):
+        writer.add(f"{i:07d}_{i}", b"m")
+    writer.close()
+    path = writer.done[0][0]
+    files, place = M._open(path)
+    with files.open_input_file(place) as f:
+        every = M.archive_directory(f)
+        assert len(every) == 66_000 and M.read_member(f, every[65_999][1]) == b"m"
+        assert len(M.archive_directory(f, every[100][1], every[200][1])) == 100
+    with zipfile.ZipFile(place) as z:
+        assert len(z.namelist()) == 66_000

@@ -96,7 +96,7 @@ def feature(payload: bytes) -> str:
     spread = max(0.0, float((counts * level * level).sum()) / n - mean * mean) ** 0.5
     p = counts[counts > 0] / n
     shares = counts.reshape(8, 32).sum(1) * 1000 // n
-    return f"mean={mean:.3f};std={spread:.3f};entropy={-(p * np.log2(p)).sum():.3f};levels={'/'.join(map(str, shares))}"
+    return f"mean={mean:.3f};std={spread:.3f};entropy={0.0 - (p * np.log2(p)).sum():.3f};levels={'/'.join(map(str, shares))}"
 
 
 # ---------------------------------------------------------------- archives
