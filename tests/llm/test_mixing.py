@@ -86,3 +86,26 @@ def test_rows_of_one_id_and_size_are_told_apart(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     mixes = {tuple(sorted(map(tuple, repeat_documents(d, mix_sources(d)).collect()))) for d in (docs, docs.repartition(5), docs.coalesce(1))}
     assert len(mixes) == 1 and len(next(iter(mixes))) > 60
+
+
+def test_every_document_keeps_its_probability():
+    """Rounding group by group over many seeds: means as the copy probabilities, sums of words nearly fixed."""
+    import random
+
+    import pyarrow as pa
+
+    from tidelog.llm.mixing import _level
+
+    r = random.Random(8)
+    n = 24
+    size, p = [r.randint(0, 30) for _ in range(n)], [r.choice([0.0, 0.2, 0.5, 0.85, 1.0]) for _ in range(n)]
+    cols = {"doc_id": pa.array(range(n), pa.int64()), "src": pa.array([0] * n, pa.int32()), "size": pa.array(size, pa.int64()), "bucket": pa.array([0] * n, pa.int64()), "p": pa.array(p), "level": pa.array([0] * n, pa.int32())}
+    total, seeds = [0.0] * n, 1500
+    for seed in range(seeds):
+        rows = pa.Table.from_batches(list(_level(seed, 32, True)(iter([pa.RecordBatch.from_pydict(cols)])))).to_pylist()
+        taken = {x["doc_id"]: x["p"] for x in rows}
+        assert len(rows) == n and set(taken.values()) <= {0.0, 1.0}
+        assert abs(sum(taken[i] * size[i] for i in range(n)) - sum(a * b for a, b in zip(p, size, strict=True))) <= max(size)
+        for i in range(n):
+            total[i] += taken[i]
+    assert all(abs(t / seeds - x) < 0.05 for t, x in zip(total, p, strict=True))
