@@ -7,7 +7,7 @@ from tidelog.operators import compaction, reads, requests, segments, views
 from tidelog.schema import RECORD
 from tidelog.sources import raw
 from tidelog.store import Store
-from tidelog.streaming.index import append_once, read_segments, streaming_live
+from tidelog.streaming.index import append_once, read_segments, streaming_live, streaming_replay
 
 
 def random_log(n, seed=1, keys=12):
@@ -248,3 +248,27 @@ def test_streaming_index_and_sink(spark, tmp_path):
     sink(batch, 0)
     sink(batch, 0)
     assert store.log().count() == 10
+    # a sink that compacts: batches of one key die as they come
+    busy = Store(spark, str(tmp_path / "busy"))
+    compacting = append_once(busy, "other", compact=True)
+    for n in range(3):
+        compacting(spark.createDataFrame([(i, "k", bytes([n, i]), n, "put") for i in range(4)], RECORD), n)
+    compacting(spark.createDataFrame(rows[:1], RECORD), 1)  # an old number again
+    assert busy.log().count() == 1 and busy.get("k") == bytes([2, 3]) and busy.manifest["commits"] == {"other": 2}
+
+
+def test_streaming_replay_in_any_order(spark, tmp_path):
+    """Late deletions strike what they were written behind; puts that were beaten by struck ones come back."""
+    rows = [(5, "k", b"best", 100, "put"), (20, "k", b"low", 50, "put"), (10, "k", None, 0, "delete"), (1, "x", b"v", 1, "put"), (2, "x", None, 1, "delete"), (3, "y", b"a", 9, "put"), (4, "y", b"b", 9, "put"), *random_log(80, 4)]
+    rows = [(i if k < 7 else i + 100, *r) for k, (i, *r) in enumerate(rows)]
+    shuffled = random.Random(3).sample(rows, len(rows))
+    shuffled.sort(key=lambda r: r[1] == "k" and r[0] == 10)  # the deletion comes last
+    for i in range(3):
+        part = shuffled[i * len(rows) // 3 : (i + 1) * len(rows) // 3]
+        spark.createDataFrame(part, RECORD).coalesce(1).write.parquet(str(tmp_path / f"in/part{i}"))
+    seen: dict = {}
+    sink = lambda batch, n: seen.update({r.key: (r.seq, r.ts, r.value and bytes(r.value)) for r in batch.collect()})
+    q = streaming_replay(read_segments(spark, str(tmp_path / "in/*"), max_files=1)).writeStream.foreachBatch(sink).outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {k: v for k, v in seen.items() if v[0] is not None} == sequential(sorted(rows))[1]
+    assert seen["k"][0] == 20 and seen["x"][0] is None
