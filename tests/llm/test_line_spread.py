@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline as P
-from tidelog.llm.line_spread import ORACLE_SQL, cut_lines, digest, least_sites
+from tidelog.llm.line_spread import ORACLE_SQL, boilerplate, cut_lines, digest, least_sites
 
 
 def brute(rows, least):
@@ -56,3 +56,13 @@ def test_few_sites_in_the_pipeline(spark, sites, least):
 
 def test_no_sites(spark):
     assert least_sites(spark.createDataFrame([], "doc_id long, text string, source string")) == 3
+
+
+def test_sketches_that_estimate(spark):
+    """So many sites that the small sketches estimate; near the threshold exact counts decide."""
+    rows = [(1000 * k + i, f"line on {k}", f"site {i}") for k in range(60, 150, 3) for i in range(k)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    wide = boilerplate(docs.select("source", "text"), 100, lg_k=6)
+    want = {k for k in range(60, 150, 3) if k >= 100}
+    hashes = {r.h: r.line for r in docs.selectExpr("xxhash64(text) as h", "text as line").distinct().collect()}
+    assert {int(hashes[r.h].split()[-1]) for r in wide.collect()} == want

@@ -132,3 +132,9 @@ def test_strong_signatures_bound_the_difference():
         size = min(len(x), len(y)) // 8
         apart = int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum())
         assert apart <= len(set(a) ^ set(b)) and (apart > 0 or n == m == len(both))
+
+
+def test_components_with_null_ends(spark):
+    edges = [(1, 2), (2, None), (None, 3), (None, None), (1, 2), (2, 1), (4, 4), (5, 6)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got.keys() == {1, 2, 5, 6} and got[1] == got[2] != got[5] == got[6]

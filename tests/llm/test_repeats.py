@@ -106,3 +106,17 @@ def test_many_texts_without_an_id(spark):
     rows = [(None if i % 2 else i, f"{r.randrange(99)} {passages[i % 4][: r.randint(100, 180)]} {r.randrange(99)}") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert [x[1:3] for x in order(digest(cut_repeats(docs)).collect()) if x[0] is not None] == [x[1:3] for x in order(brute(rows, 100)) if x[0] is not None]
+
+
+def test_a_repeat_over_the_border_of_a_very_long_text(spark):
+    from tidelog.llm.repeats import SLICE
+
+    g = np.random.default_rng(3)
+    letters = lambda n: bytes(g.integers(97, 123, n, dtype=np.uint8)).decode()
+    passage = letters(300)
+    text = letters(1000) + passage + letters(SLICE - 150 - 1300) + passage + letters(2 * SLICE)
+    docs = spark.createDataFrame([(1, text), (2, letters(500) + passage + letters(500)), (3, "short")], "doc_id long, text string")
+    got = {r.doc_id: r for r in cut_repeats(docs).collect()}
+    at = SLICE - 150
+    assert (got[1].n_removed, got[1].n_spans, bytes(got[1].kept)) == (300, 1, (text[:at] + text[at + 300 :]).encode())
+    assert (got[2].n_removed, got[2].n_spans) == (300, 1) and got[3].n_removed == 0

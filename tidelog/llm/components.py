@@ -16,7 +16,10 @@ from .common import discard, materialize
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, root) of every node of edges(a, b), with one root for each component. Loops and repeats are fine."""
+    """(node, root) of every node of edges(a, b), with one root for each component.
+
+    Loops and edges with a null end are no links: they give no node. Repeated edges count once. No edges give no rows.
+    """
     left = materialize(edges.where("a <> b").select("a", "b").distinct(), f"{name}-edges")
     hooks: list[DataFrame] = []
     while left.limit(1).count():
