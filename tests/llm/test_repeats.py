@@ -120,3 +120,31 @@ def test_a_repeat_over_the_border_of_a_very_long_text(spark):
     at = SLICE - 150
     assert (got[1].n_removed, got[1].n_spans, bytes(got[1].kept)) == (300, 1, (text[:at] + text[at + 300 :]).encode())
     assert (got[2].n_removed, got[2].n_spans) == (300, 1) and got[3].n_removed == 0
+
+
+def test_the_merge_reads_few_rows_a_step(monkeypatch):
+    """Long repeats in many texts: a step sorts the rows that may part, not all of them at each of the hundred symbols."""
+    g = np.random.default_rng(8)
+    passage = bytes(g.integers(97, 123, 180, dtype=np.uint8))
+    texts = []
+    for i in range(400):
+        a = int(g.integers(0, 40))
+        texts.append(bytes(g.integers(97, 123, 20, dtype=np.uint8)) + passage[a : a + int(g.integers(110, 141))])
+    texts += [b"a" * 150, b"\xff" * 120 + b"\x00" * 130, bytes(range(256)), b"a" * 130]
+    bwts, ends = [], []
+    for k in range(4):
+        s = np.concatenate([np.append(np.frombuffer(t, np.uint8).astype(np.int16) + 1, 0) for t in texts[k::4]])
+        bwts.append(transform(s, 100, 0)[1].astype(np.uint16))
+        ends.append(len(texts[k::4]))
+    sorted_rows, plain = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **k: sorted_rows.append(len(x)) or plain(x, *a, **k))
+    merge_transforms(bwts, ends, 100, 0)
+    monkeypatch.undo()
+    assert sum(sorted_rows) < 50 * sum(map(len, bwts))  # all rows at each symbol, twice, are 200
+    found = repeated_starts(texts, np.array([[i, 0] for i in range(len(texts))]), 100)
+    first: dict = {}
+    for t in texts:
+        for p in range(len(t) - 99):
+            first.setdefault(t[p : p + 100], (t, p))
+    want = [[p for p in range(len(t) - 99) if first[t[p : p + 100]] != (t, p)] for t in texts]
+    assert [sorted(x.tolist()) for x in found] == want and sum(map(len, want)) > 5000

@@ -211,34 +211,59 @@ def transform(s: np.ndarray, depth: int, end: int) -> tuple[np.ndarray, np.ndarr
 def merge_transforms(bwts: list[np.ndarray], ends: list[int], depth: int, end: int) -> tuple[np.ndarray, np.ndarray]:
     """(shard of each row of the merged order, length of the common prefix with the row before, depth at most).
 
-    end is the least symbol; a shard has ends[s] of them, and no two are equal.
+    end is the least symbol; a shard has ends[s] of them, and no two are equal. A step reads the rows whose order it may
+    refine: those one symbol before the rows of blocks that the last step parted.
     """
     n, k = sum(map(len, bwts)), sum(ends)
-    z = np.repeat(np.arange(len(bwts), dtype=np.uint8), [len(b) for b in bwts])
     symbols = np.concatenate(bwts)
-    lead = np.repeat(np.arange(len(bwts), dtype=np.uint8), ends)
-    parted = np.zeros(n, bool)
-    parted[0] = True
+    code = np.cumsum(np.bincount(symbols, minlength=end + 1) > 0) - 1  # symbols by rank: a byte where there are 256 at most
+    symbols = code.astype(np.uint8 if code[-1] < 256 else np.uint16)[symbols]
+    # a row stands in its shard's order; before[r] is the row of the suffix that begins one symbol earlier
+    at = np.cumsum([0, *map(len, bwts)])
+    before = np.empty(n, np.int32)
+    head = np.empty(n, symbols.dtype)
+    for lo, hi in zip(at[:-1], at[1:], strict=True):
+        turn = np.argsort(symbols[lo:hi], kind="stable")
+        before[lo + turn] = np.arange(lo, hi, dtype=np.int32)
+        head[lo:hi] = symbols[lo:hi][turn]
+    # the order by one symbol; blocks are told by the place of their first row, and their rows keep the order of the shards
+    rows = np.argsort(head, kind="stable").astype(np.int32)
+    place = np.empty(n, np.int32)
+    place[rows] = np.arange(n, dtype=np.int32)
+    new = np.ones(n, bool)
+    new[1:] = head[rows][1:] != head[rows][:-1]
+    new[: k + 1] = True  # an end is a block by itself, in the order of the texts
+    block = np.empty(n, np.int32)
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, n))
+    block[rows] = np.repeat(first, size)
+    alone = np.zeros(n, bool)  # rows that are a block by themselves stay where they are
+    alone[rows[first[size == 1]]] = True
     lcp = np.full(n, depth, np.int16)
-    lcp[0] = 0
-    merged = np.empty(n, symbols.dtype)
-    for h in range(depth):
-        merged[np.argsort(z, kind="stable")] = symbols  # each shard's rows keep their order
-        block = np.cumsum(parted, dtype=np.int32)
-        to = np.argsort(merged, kind="stable")
-        after = z[to]
-        after[:k] = lead  # an end's rows stand in the order of the texts
-        source = block[to]
-        split = np.ones(n, bool)
-        split[1:] = source[1:] != source[:-1]
-        change = merged[to]
-        split[1:] |= change[1:] != change[:-1]
-        split[: k + 1] = True
-        lcp[split & ~parted] = h
-        still = np.array_equal(after, z) and np.array_equal(split | parted, parted)
-        z, parted = after, split
-        if still and h:
+    lcp[first] = 0
+    parted = rows
+    for h in range(1, depth):
+        # only blocks whose suffixes without the first symbol parted in the step before can part in this one
+        parted = parted[(symbols[parted] != 0) & ~alone[before[parted]]]
+        if not len(parted):
             break
+        parted = parted[np.argsort(symbols[parted], kind="stable")]
+        to = before[parted]
+        old, source = block[to], block[parted]
+        outer = np.ones(len(to), bool)
+        outer[1:] = old[1:] != old[:-1]
+        inner = outer.copy()
+        inner[1:] |= source[1:] != source[:-1]
+        whole, piece = np.flatnonzero(outer), np.flatnonzero(inner)
+        sizes, pieces = np.diff(np.append(whole, len(to))), np.diff(np.append(piece, len(to)))
+        shift = old - np.repeat(whole, sizes)  # of a block all rows are here, one behind the other
+        place[to] = shift + np.arange(len(to))
+        block[to] = shift + np.repeat(piece, pieces)
+        alone[to[piece[pieces == 1]]] = True
+        lcp[block[to[inner & ~outer]]] = h
+        parted = to[np.repeat(np.add.reduceat(inner, whole, dtype=np.int64) > 1, sizes)]
+    z = np.empty(n, np.uint8)
+    z[place] = np.repeat(np.arange(len(bwts), dtype=np.uint8), np.diff(at))
     return z, lcp
 
 
@@ -375,16 +400,19 @@ def _merge_contexts(length: int, shards: int):
                 continue
             texts = table["ctx"].to_pylist()
             doc, t, p = (table[k].to_numpy().astype(np.int64) for k in ("doc_id", "t", "p"))
-            out: list[tuple] = []
-            for i, starts in enumerate(repeated_starts(texts, np.stack([doc, p], 1), length, shards)):
-                if len(starts):
-                    starts = np.sort(starts)
-                    cut = np.flatnonzero(np.diff(starts) > length)
-                    lo, hi = np.append(starts[:1], starts[cut + 1]), np.append(starts[cut], starts[-1:]) + length
-                    out += [(doc[i], t[i], p[i] + x, p[i] + y) for x, y in zip(lo, hi, strict=True)]
-            if out:
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "t", "start", "end"])
+            found = repeated_starts(texts, np.stack([doc, p], 1), length, shards)
+            text, start = np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate(found)
+            if not len(start):
+                continue
+            order = np.lexsort((start, text))
+            text, start = text[order], start[order]
+            new = np.ones(len(start), bool)
+            new[1:] = (text[1:] != text[:-1]) | (np.diff(start) > length)
+            lo = np.flatnonzero(new)
+            hi = np.append(lo[1:], len(start)) - 1
+            i = text[lo]
+            cols = [pa.array(doc[i], pa.int64()), pa.array(t[i], pa.int32()), pa.array(p[i] + start[lo], pa.int64()), pa.array(p[i] + start[hi] + length, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "t", "start", "end"])
 
     return run
 
