@@ -1,6 +1,8 @@
+from dataclasses import replace
+
 import numpy as np
 
-from tidelog.llm.licences import TEMPLATES, confirmed, scan, train
+from tidelog.llm.licences import FAMILIES, TEMPLATES, confirmed, scan, train
 
 LINES = {t: f for f, ts in TEMPLATES.items() for t in ts}
 
@@ -129,3 +131,40 @@ def test_lines_come_from_all_over_the_texts(spark):
     assert len(every) == len(set(every)) == 6000 + 1 + 1 and max(len(x.split()) for x in every) == 40
     some = _sample_lines(docs.repartition(3), 300)
     assert len(some) == 300 and some == every[:300] and sum(int(x.split()[1]) >= 1000 for x in some if x.startswith("line")) > 100
+
+
+def test_the_family_regression_decides(spark):
+    """What the query returns depends on the second regression: alone, templates name no family."""
+    from tidelog.llm.licences import LIKELY
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = train(docs)
+    notices = list(LINES.items())
+    assert all(model.families(t)[FAMILIES.index(f)] > 0.5 for t, f in notices)  # each notice by itself, tags too
+    rows = [(i, t) for i, (t, _) in enumerate(notices)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def found(m):
+        return {r.doc_id: (r.licence, r.n_licences, r.families) for r in scan(texts, m).drop("findings").collect()}
+
+    assert all(r[0] == notices[i][1] for i, r in found(model).items())
+    # a model that knows no family: as likely as a draw, which isn't enough
+    even = replace(model, weights=model.weights * 0, bias=model.bias * 0)
+    assert 1 / len(FAMILIES) < LIKELY and all(r[0] in (None, "unknown") for r in found(even).values())
+    # one that takes apache notices for mit ones and the other way round: the templates don't bear it out
+    turn = np.arange(len(FAMILIES))
+    mit, apache = FAMILIES.index("mit"), FAMILIES.index("apache-2.0")
+    turn[[mit, apache]] = apache, mit
+    swapped = found(replace(model, weights=model.weights[turn], bias=model.bias[turn]))
+    assert all((r[0] in (None, "unknown")) == (notices[i][1] in ("mit", "apache-2.0")) for i, r in swapped.items())
+
+
+def test_the_likeliest_confirmed_family_stands():
+    from tidelog.llm.licences import _best
+
+    text = "Released under the MIT License. Licensed under the Apache License, Version 2.0."
+    likely = dict.fromkeys(FAMILIES, 0.0)
+    assert _best(text, 0.6, likely | {"mit": 0.7, "apache-2.0": 0.2})[0] == "mit"
+    assert _best(text, 0.6, likely | {"mit": 0.2, "apache-2.0": 0.7})[0] == "apache-2.0"
+    assert _best(text, 0.6, likely | {"gpl": 0.95, "apache-2.0": 0.05})[0] == "unknown"
+    assert _best(text, 0.6)[0] == "apache-2.0"
