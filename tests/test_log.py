@@ -272,3 +272,17 @@ def test_streaming_replay_in_any_order(spark, tmp_path):
     q.awaitTermination()
     assert {k: v for k, v in seen.items() if v[0] is not None} == sequential(sorted(rows))[1]
     assert seen["k"][0] == 20 and seen["x"][0] is None
+
+
+def test_deletions_in_files_behind_the_active_one_outlive_compaction(spark):
+    ops = [("f", "put", 1), ("gone", "put", 2), ("back", "put", 2), ("dead", "delete", 2), ("gone", "delete", 3), ("dead", "delete", 3), ("back", "delete", 3), ("back", "put", 4), ("f", "delete", 4)]
+    log = spark.createDataFrame([(i, k, None if op == "delete" else b"v%d" % i, i, op) for i, (k, op, _) in enumerate(ops)], RECORD)
+    files = spark.createDataFrame([(i, f"{n:010d}") for i, (_, _, n) in enumerate(ops)], "seq long, file_id string")
+    seg = segments.with_offsets(views.sized(log.join(files, "seq")))
+    active = f"{2:010d}"
+    once = compaction.compact(seg, active, 9)
+    assert {r.key for r in views.live_online(once).collect()} == {"back"}
+    twice = compaction.compact(once, active, 10).collect()
+    # only the deletion that stands before a record of the active file stays
+    assert sorted((r.seq, r.op) for r in twice if r.file_id != active) == [(4, "delete"), (7, "put")]
+    assert {r.seq for r in twice if r.file_id == active} == {1, 2, 3}

@@ -22,16 +22,20 @@ def should_compact(segments: DataFrame, active: str, threshold: float = THRESHOL
     return ratio(segments, active).withColumn("should_compact", (F.col("closed_bytes") > 0) & (F.col("ratio") >= threshold))
 
 
-def compact(segments: DataFrame, active: str, into: int) -> DataFrame:
+def compact(segments: DataFrame, active: str, into: int, deletions: bool = True) -> DataFrame:
     """The segments after compaction: live records of closed files in a new file, at their places there; the active file as it is.
 
     Rows keep their seq, which decides what is live: a merged file never outranks later records, whatever its name.
-    Deletions in closed files go, as no closed record of their key stays; a deletion in the active file stays.
+    Deletions in closed files go where no record of their key stays; one behind a record of its key in the active file (files
+    may follow that) stays with the live records, or its key would come back. Without deletions none stays: that is right
+    only where the active file is the last.
     """
-    last = segments.groupBy("key").agg(F.max_by(F.struct("seq", "op"), "seq").alias("r"))
-    live = last.where("r.op <> 'delete'").select("r.seq")
+    of_active = F.when(F.col("file_id") == active, F.col("seq"))
+    last = segments.groupBy("key").agg(F.max_by(F.struct("seq", "op"), "seq").alias("r"), F.max_by("op", of_active).alias("in_active"))
+    shadows = F.coalesce(F.col("in_active") != "delete", F.lit(False)) if deletions else F.lit(False)
+    stay = last.where((F.col("r.op") != "delete") | shadows).select("r.seq")
     closed = segments.where(F.col("file_id") != active)
-    kept = with_offsets(closed.join(live, "seq", "left_semi").drop("offset").withColumn("file_id", file_name(F.lit(into))))
+    kept = with_offsets(closed.join(stay, "seq", "left_semi").drop("offset").withColumn("file_id", file_name(F.lit(into))))
     return kept.select(segments.columns).unionByName(segments.where(F.col("file_id") == active))
 
 

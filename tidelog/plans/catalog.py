@@ -237,13 +237,13 @@ def compaction_stats(spark, sf_dir):
 
 
 def _twice_compacted(spark, sf_dir):
-    """Compacted once when file 5 was active, and again when file 10 is."""
+    """Compacted once when file 5 was active, and again when file 10 is; as the SQL has it, no deletion of a closed file stays."""
     log, first = logs.segmented(spark, sf_dir), "0000000005"
     folder = scratch_folder(spark, "compacted")
-    once = compaction.compact(log.where(F.col("file_id") <= first), first, 0)
+    once = compaction.compact(log.where(F.col("file_id") <= first), first, 0, deletions=False)
     once.write.parquet(folder)  # a compaction's files are written before the next one reads them
     once = spark.read.schema(once.schema).parquet(folder)
-    return compaction.compact(once.unionByName(log.where(F.col("file_id") > first)), "0000000010", 11)
+    return compaction.compact(once.unionByName(log.where(F.col("file_id") > first)), "0000000010", 11, deletions=False)
 
 
 _MERGED = f"""{SQL_SEGMENTS}, last AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM segments),
