@@ -286,3 +286,21 @@ def test_deletions_in_files_behind_the_active_one_outlive_compaction(spark):
     # only the deletion that stands before a record of the active file stays
     assert sorted((r.seq, r.op) for r in twice if r.file_id != active) == [(4, "delete"), (7, "put")]
     assert {r.seq for r in twice if r.file_id == active} == {1, 2, 3}
+
+
+def test_an_append_makes_its_rows_once(spark, tmp_path):
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    def note(batches):
+        import tempfile
+
+        for batch in batches:
+            tempfile.mkstemp(dir=seen)
+            yield batch
+
+    rows = spark.createDataFrame(random_log(20, 5), RECORD).coalesce(1).mapInArrow(note, RECORD)
+    s = Store(spark, str(tmp_path / "s"))
+    assert s.append(rows) and len(list(seen.iterdir())) == 1
+    assert s.append(rows.where("seq >= 5")) and s.manifest["next_seq"] == 40 and s.log().agg(F.max("seq")).first()[0] == 39
+    assert not s.append(rows.where("false")) and len(s.manifest["segments"]) == len(list((tmp_path / "s").glob("segment-*"))) == 2

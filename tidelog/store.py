@@ -120,7 +120,7 @@ class Store:
         if self.buffer:
             base = self.manifest["next_seq"]
             rows = [(base + i, *r) for i, r in enumerate(self.buffer)]
-            self._commit(self.spark.createDataFrame(rows, RECORD).coalesce(1), len(rows))
+            self._commit(self._write(self.spark.createDataFrame(rows, RECORD).coalesce(1)), len(rows))
             self.buffer = []
 
     def append(self, rows: DataFrame, commit: tuple[str, int] | None = None) -> bool:
@@ -132,16 +132,21 @@ class Store:
         if commit is not None and commit[1] <= self.manifest["commits"].get(commit[0], -1):
             return False
         base = self.manifest["next_seq"]
-        top = rows.agg(F.max("seq")).first()[0]
+        name = self._write(rows.select((F.lit(base) + F.col("seq")).cast("long").alias("seq"), "key", "value", "ts", "op"))
+        top = self.spark.read.schema(RECORD).parquet(f"{self.path}/{name}").agg(F.max("seq")).first()[0]  # rows are made once
         if top is None:
+            self._fs.delete(self._Path(f"{self.path}/{name}"), True)
             return False
-        shifted = rows.select((F.lit(base) + F.col("seq")).cast("long").alias("seq"), "key", "value", "ts", "op")
-        self._commit(shifted, top + 1, commit)
+        self._commit(name, top + 1 - base, commit)
         return True
 
-    def _commit(self, rows: DataFrame, n: int, commit: tuple[str, int] | None = None) -> None:
+    def _write(self, rows: DataFrame) -> str:
+        """Writes the rows as a segment that no manifest names yet."""
         name = f"segment-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.path}/{name}")
+        return name
+
+    def _commit(self, name: str, n: int, commit: tuple[str, int] | None = None) -> None:
         m = self.manifest
         self._swap(m | {"segments": [*m["segments"], name], "next_seq": m["next_seq"] + n, "commits": m["commits"] | (dict([commit]) if commit else {})})
 
