@@ -304,3 +304,16 @@ def test_an_append_makes_its_rows_once(spark, tmp_path):
     assert s.append(rows) and len(list(seen.iterdir())) == 1
     assert s.append(rows.where("seq >= 5")) and s.manifest["next_seq"] == 40 and s.log().agg(F.max("seq")).first()[0] == 39
     assert not s.append(rows.where("false")) and len(s.manifest["segments"]) == len(list((tmp_path / "s").glob("segment-*"))) == 2
+
+
+def test_small_files_share_a_task(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    raw.write_log(segments.rotate(spark.createDataFrame(random_log(120, 8), RECORD), 60), path)
+    back = raw.read_log(spark, path, strict="true")
+    assert len(raw.names_in(path, ".data")) > 40 and back.rdd.getNumPartitions() == 1
+    assert back.count() == 120 and back.select("file_id").distinct().count() == len(raw.names_in(path, ".data"))
+    many = [(f"{i:010d}.data", 100_000) for i in range(100_000)]
+    dealt = raw.bundles([*many, ("large.data", 1 << 40), ("last.data", 1)])
+    assert [n for names in dealt for n in names] == [n for n, _ in many] + ["large.data", "last.data"]
+    assert ["large.data"] in dealt and ["last.data"] in dealt and max(map(len, dealt)) * 100_000 <= raw.MOST
+    assert len(raw.bundles(many)) <= raw.PARTITIONS + 1 and raw.bundles([]) == []

@@ -1,8 +1,8 @@
 """Raw segment and index files: a Python data source (formats ``kvlog`` and ``kvhint``) and the sink.
 
-Records have no fixed width, so a file is walked from its start: one input partition a file, in bounded pieces. The walk
-ends at the first record that is cut off or damaged, as recovery does; with option ``strict`` it fails instead. With
-option ``all`` a last row tells why the walk ended. Names that start with a dot are unfinished files and no data.
+Records have no fixed width, so a file is walked from its start, in bounded pieces; an input partition walks one large
+file or many small ones. The walk ends at the first record that is cut off or damaged, as recovery does; with option
+``strict`` it fails instead. With option ``all`` a last row tells why the walk ended. Names that start with a dot are unfinished files and no data.
 """
 
 from __future__ import annotations
@@ -21,6 +21,9 @@ from ..functions.codec import encode_index_entry, encode_record, encode_tombston
 from ..schema import HEADER, INDEX_HEADER
 
 PIECE = 4 << 20
+PARTITIONS = 256  # of a folder, while they have between LEAST and MOST bytes
+LEAST, MOST = 4 << 20, 64 << 20
+OPENING = 16 << 10  # what opening a file counts as, in bytes
 LOG_SCHEMA = "file_id string, offset long, record_size int, key string, value binary, ts long, tombstone boolean, corrupt_reason string"
 HINT_SCHEMA = "file_id string, key string, ts long, value_size int, offset long"
 
@@ -69,17 +72,34 @@ def walk_index(f, size: int):
         at += need
 
 
-def names_in(folder: str, suffix: str) -> list[str]:
-    """Finished files of a folder, sorted."""
+def files_in(folder: str, suffix: str) -> list[tuple[str, int]]:
+    """Names and sizes of the finished files of a folder, sorted."""
     from pyarrow import fs
 
     files, path = fs.FileSystem.from_uri(folder)
-    return sorted(i.base_name for i in files.get_file_info(fs.FileSelector(path)) if i.base_name.endswith(suffix) and not i.base_name.startswith("."))
+    return sorted((i.base_name, i.size) for i in files.get_file_info(fs.FileSelector(path)) if i.base_name.endswith(suffix) and not i.base_name.startswith("."))
+
+
+def names_in(folder: str, suffix: str) -> list[str]:
+    return [n for n, _ in files_in(folder, suffix)]
+
+
+def bundles(sizes: list[tuple[str, int]]) -> list[list[str]]:
+    """Names in groups of like weight: no group is above the target but a file that is so by itself."""
+    target = min(max(sum(n + OPENING for _, n in sizes) // PARTITIONS, LEAST), MOST)
+    out, weight = [], 0
+    for name, n in sizes:
+        if not out or weight + n + OPENING > target:
+            out.append([])
+            weight = 0
+        out[-1].append(name)
+        weight += n + OPENING
+    return out
 
 
 @dataclass
-class OneFile(InputPartition):
-    uri: str
+class Files(InputPartition):
+    names: list[str]
 
 
 class _Reader(DataSourceReader):
@@ -91,60 +111,52 @@ class _Reader(DataSourceReader):
         self.all = options.get("all", "false").lower() == "true"
 
     def partitions(self):
-        from pyarrow import fs
-
-        names = names_in(self.folder, self.suffix)
-        return [OneFile(f"{self.folder}/{n}") for n in names] or [OneFile("")]
+        return [Files(names) for names in bundles(files_in(self.folder, self.suffix))] or [Files([])]
 
     def read(self, part):
         from pyarrow import fs
 
-        if not part.uri:
-            return
-        files, path = fs.FileSystem.from_uri(part.uri)
-        size = files.get_file_info(path).size
-        file_id = part.uri.rpartition("/")[2].removesuffix(self.suffix)
-        with files.open_input_stream(path) as f:
-            yield from self.rows(f, size, file_id)
+        files, path = fs.FileSystem.from_uri(self.folder)
+        held, weight = [], 0
+        for name in part.names:
+            size = files.get_file_info(f"{path}/{name}").size
+            with files.open_input_stream(f"{path}/{name}") as f:
+                for n, row in self.rows(f, size, name.removesuffix(self.suffix)):
+                    held.append(row)
+                    weight += n
+                    if weight >= PIECE:
+                        yield self.batch(held)
+                        held, weight = [], 0
+        if held:
+            yield self.batch(held)
+
+    def batch(self, rows):
+        names, kinds = zip(*self.columns(), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
 
 
 class LogReader(_Reader):
+    def columns(self):
+        return [("file_id", pa.string()), ("offset", pa.int64()), ("record_size", pa.int32()), ("key", pa.string()), ("value", pa.binary()), ("ts", pa.int64()), ("tombstone", pa.bool_()), ("corrupt_reason", pa.string())]
+
     def rows(self, f, size, file_id):
-        held, weight = [], 0
         for offset, n, key, value, ts, dead, reason in walk_records(f, size):
             if reason and self.strict:
                 raise ValueError(f"{file_id} at {offset}: {reason}")
             if reason and not self.all:
-                break
-            held.append((file_id, offset, n, key, value, ts, dead, reason))
-            weight += n
-            if weight >= PIECE:
-                yield self.batch(held)
-                held, weight = [], 0
-        if held:
-            yield self.batch(held)
-
-    @staticmethod
-    def batch(rows):
-        names = ["file_id", "offset", "record_size", "key", "value", "ts", "tombstone", "corrupt_reason"]
-        kinds = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.int64(), pa.bool_(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                return
+            yield n, (file_id, offset, n, key, value, ts, dead, reason)
 
 
 class HintReader(_Reader):
     suffix = ".hint"
 
+    def columns(self):
+        return [("file_id", pa.string()), ("key", pa.string()), ("ts", pa.int64()), ("value_size", pa.int32()), ("offset", pa.int64())]
+
     def rows(self, f, size, file_id):
-        names, kinds = ["file_id", "key", "ts", "value_size", "offset"], [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64()]
-        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-        held = []
         for key, ts, value_size, offset in walk_index(f, size):
-            held.append((file_id, key, ts, value_size, offset))
-            if len(held) >= 10_000:
-                yield batch(held)
-                held = []
-        if held:
-            yield batch(held)
+            yield INDEX_HEADER + len(key), (file_id, key, ts, value_size, offset)
 
 
 class LogSource(DataSource):
