@@ -317,3 +317,16 @@ def test_small_files_share_a_task(spark, tmp_path):
     assert [n for names in dealt for n in names] == [n for n, _ in many] + ["large.data", "last.data"]
     assert ["large.data"] in dealt and ["last.data"] in dealt and max(map(len, dealt)) * 100_000 <= raw.MOST
     assert len(raw.bundles(many)) <= raw.PARTITIONS + 1 and raw.bundles([]) == []
+
+
+def test_a_replay_walks_the_files_once(spark, tmp_path):
+    rows = random_log(120, 11)
+    path = tmp_path / "raw"
+    raw.write_log(segments.rotate(spark.createDataFrame(rows, RECORD), 300), str(path))
+    sizes = {(r.key, r.value_size) for r in raw.read_log(spark, str(path), values="false").where("not tombstone").collect()}
+    index, found = raw.recover(spark, str(path))
+    for p in path.iterdir():  # what was walked is kept, so the index asks for no file again
+        p.unlink()
+    want = {k: (ts, len(v)) for k, (_, ts, v) in sequential(rows)[1].items()}
+    assert found and {r.key: (r.ts, r.value_size) for r in index.collect()} == want
+    assert sizes == {(key, len(value)) for _, key, value, _, op in rows if op != "delete"}

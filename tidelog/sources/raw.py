@@ -2,7 +2,8 @@
 
 Records have no fixed width, so a file is walked from its start, in bounded pieces; an input partition walks one large
 file or many small ones. The walk ends at the first record that is cut off or damaged, as recovery does; with option
-``strict`` it fails instead. With option ``all`` a last row tells why the walk ended. Names that start with a dot are unfinished files and no data.
+``strict`` it fails instead. With option ``all`` a last row tells why the walk ended. With ``values`` false the rows have
+value_size in place of the value. Names that start with a dot are unfinished files and no data.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.codec import encode_index_entry, encode_record, encode_tombstone
 from ..schema import HEADER, INDEX_HEADER
+from .scratch import scratch_folder
 
 PIECE = 4 << 20
 PARTITIONS = 256  # of a folder, while they have between LEAST and MOST bytes
@@ -109,6 +111,7 @@ class _Reader(DataSourceReader):
         self.folder = options["path"].rstrip("/")
         self.strict = options.get("strict", "false").lower() == "true"
         self.all = options.get("all", "false").lower() == "true"
+        self.values = options.get("values", "true").lower() == "true"
 
     def partitions(self):
         return [Files(names) for names in bundles(files_in(self.folder, self.suffix))] or [Files([])]
@@ -137,7 +140,8 @@ class _Reader(DataSourceReader):
 
 class LogReader(_Reader):
     def columns(self):
-        return [("file_id", pa.string()), ("offset", pa.int64()), ("record_size", pa.int32()), ("key", pa.string()), ("value", pa.binary()), ("ts", pa.int64()), ("tombstone", pa.bool_()), ("corrupt_reason", pa.string())]
+        value = ("value", pa.binary()) if self.values else ("value_size", pa.int32())
+        return [("file_id", pa.string()), ("offset", pa.int64()), ("record_size", pa.int32()), ("key", pa.string()), value, ("ts", pa.int64()), ("tombstone", pa.bool_()), ("corrupt_reason", pa.string())]
 
     def rows(self, f, size, file_id):
         for offset, n, key, value, ts, dead, reason in walk_records(f, size):
@@ -145,6 +149,8 @@ class LogReader(_Reader):
                 raise ValueError(f"{file_id} at {offset}: {reason}")
             if reason and not self.all:
                 return
+            if not self.values and value is not None:
+                value = len(value)
             yield n, (file_id, offset, n, key, value, ts, dead, reason)
 
 
@@ -165,7 +171,8 @@ class LogSource(DataSource):
         return "kvlog"
 
     def schema(self):
-        return LOG_SCHEMA
+        values = self.options.get("values", "true").lower() == "true"
+        return LOG_SCHEMA if values else LOG_SCHEMA.replace("value binary", "value_size int")
 
     def reader(self, schema):
         return LogReader(self.options)
@@ -246,7 +253,9 @@ def recover(spark: SparkSession, folder: str) -> tuple[DataFrame, bool]:
     data = {n.removesuffix(".data") for n in names_in(folder, ".data")}
     if data and data <= {n.removesuffix(".hint") for n in names_in(folder, ".hint")}:
         return live_hints(read_hints(spark, folder)), True
-    return replay(read_log(spark, folder)), bool(data)
+    walked, table = read_log(spark, folder, values="false").drop("corrupt_reason"), scratch_folder(spark, "walked")
+    walked.write.parquet(table)  # a replay reads it twice, and files are walked once
+    return replay(spark.read.schema(walked.schema).parquet(table)), bool(data)
 
 
 def read_at(places: DataFrame, folder: str) -> DataFrame:
@@ -283,10 +292,10 @@ def read_at(places: DataFrame, folder: str) -> DataFrame:
 
 
 def replay(records: DataFrame) -> DataFrame:
-    """The index by replaying records in order of file and offset."""
+    """The index by replaying records, read without values, in order of file and offset."""
     place = F.struct("file_id", "offset")
     dead = F.max(F.when(F.col("tombstone"), place))
     lost = records.groupBy("key").agg(dead.alias("dead"))
     puts = records.where("not tombstone").join(lost, "key").where(F.col("dead").isNull() | (place > F.col("dead")))
-    best = F.max_by(F.struct("ts", F.octet_length("value").alias("value_size"), "offset", "file_id", "record_size"), F.struct("ts", "file_id", "offset")).alias("r")
+    best = F.max_by(F.struct("ts", "value_size", "offset", "file_id", "record_size"), F.struct("ts", "file_id", "offset")).alias("r")
     return puts.groupBy("key").agg(best).select("key", "r.ts", "r.value_size", "r.offset", "r.file_id", F.col("r.record_size").cast("long").alias("record_size"))
