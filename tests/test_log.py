@@ -330,3 +330,18 @@ def test_a_replay_walks_the_files_once(spark, tmp_path):
     want = {k: (ts, len(v)) for k, (_, ts, v) in sequential(rows)[1].items()}
     assert found and {r.key: (r.ts, r.value_size) for r in index.collect()} == want
     assert sizes == {(key, len(value)) for _, key, value, _, op in rows if op != "delete"}
+
+
+def test_streaming_replay_keeps_many_keys_in_a_state_row(spark, tmp_path):
+    rows = [*random_log(150, 12, keys=40), (200, "none", None, 5, "put"), (201, "none", b"late", 4, "put")]
+    shuffled = random.Random(5).sample(rows, len(rows))
+    for i in range(3):
+        spark.createDataFrame(shuffled[i * 60 : (i + 1) * 60], RECORD).coalesce(1).write.parquet(str(tmp_path / f"in/part{i}"))
+    seen: dict = {}
+    sink = lambda batch, n: seen.update({r.key: (r.seq, r.ts, r.value and bytes(r.value)) for r in batch.collect()})
+    live = streaming_replay(read_segments(spark, str(tmp_path / "in/*"), max_files=1), buckets=3)
+    q = live.writeStream.foreachBatch(sink).outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination()
+    want = sequential(rows[:-2])[1] | {"none": (200, 5, None)}  # a put without a value is a put
+    assert {k: v for k, v in seen.items() if v[0] is not None} == want and len(seen) > 30
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) <= 3
